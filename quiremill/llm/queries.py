@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import decontamination, licence_scan, piece_codec, quality, secret_scan, simhash_trie
+from quiremill.llm import decontamination, licence_scan, piece_codec, quality, secret_scan, simhash_trie, vector_graph
 from quiremill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id",
+        "n_links",
+        "component_id",
+        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
@@ -101,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
         "op9_license_scan": op9_license_scan,
+        "op10_embeddings": op10_embeddings,
     }
 
 
