@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import decontamination, licence_scan, piece_codec, quality, secret_scan, simhash_trie, vector_graph, warc_revisit
+from quiremill.llm import decontamination, licence_scan, line_dedup, piece_codec, quality, secret_scan, simhash_trie, vector_graph, warc_revisit
 from quiremill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     counts = [
@@ -143,6 +150,7 @@ def queries() -> dict[str, Query]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
+        "op5_line_dedup": op5_line_dedup,
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
         "op8_warc_revisits": op8_warc_revisits,
