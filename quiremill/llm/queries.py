@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import decontamination, licence_scan, line_dedup, piece_codec, quality, secret_scan, simhash_trie, vector_graph, warc_revisit
+from quiremill.llm import decontamination, licence_scan, line_dedup, piece_codec, quality, secret_scan, simhash_trie, suffix_collection, vector_graph, warc_revisit
 from quiremill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_collection.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -147,6 +152,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
