@@ -24,6 +24,7 @@ ones are repeats of the first; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -40,12 +41,12 @@ WIDTH = 100
 #: Length of the strings whose hashes are compared; 2 ** 5.
 GRAM = 32
 #: Bytes in a symbol; divides the width.
-SYMBOL = 4
-#: Starts in a segment at most.
-STARTS = 256
+SYMBOL = 10
+#: Starts in a segment at most; no fewer than a run with a single place of its hash can have.
+STARTS = 72
 #: Bytes that are hashed at once, and segments whose collection is built at once.
-CHUNK = 1 << 22
-BLOCK = 2048
+CHUNK = 1 << 18
+BLOCK = 384
 #: Places of one hash from which on it is dealt out by whole strings.
 CROWD = 20_000
 LAST = (1 << 63) - 1
@@ -96,15 +97,45 @@ def string_starts(raw: np.ndarray, sizes: np.ndarray, width: int = WIDTH, gram:
     return least[first], doc[first], start[first], size, twice
 
 
+class Tables:
+    """Two pairs of files that take turns: one is read from its start while the other is written."""
+
+    def __init__(self, folder: str):
+        # Files are overwritten in place: cutting them off would make the file system write them out.
+        self.files = [[open(f"{folder}/{name}{turn}", "w+b", buffering=0) for name in ("bwt", "lcp")] for turn in (0, 1)]
+        self.turn, self.size, self.kind = 0, 0, np.uint8
+
+    def write(self, symbols: np.ndarray, common: np.ndarray) -> None:
+        self.turn ^= 1
+        self.size, self.kind = len(symbols), symbols.dtype
+        for file, column in zip(self.files[self.turn], (symbols, common)):
+            file.seek(0)
+            rest = memoryview(np.ascontiguousarray(column)).cast("B")
+            while len(rest):
+                rest = rest[file.write(rest) :]
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for file, kind in zip(self.files[self.turn], (self.kind, np.uint8)):
+            file.seek(0)
+            out.append(np.fromfile(file, kind, self.size))
+        return out[0], out[1]
+
+    def close(self) -> None:
+        for pair in self.files:
+            for file in pair:
+                file.close()
+
+
 class Collection:
     """Transform and common prefixes of right-aligned documents of symbols, kept in files and built column by column."""
 
-    def __init__(self, columns: np.ndarray, folder: str):
+    def __init__(self, columns: np.ndarray, tables: Tables):
         """``columns[i, j]`` is document i's j-th symbol from the right, 0 where it has none."""
-        self.count, self.folder, self.turn = len(columns), folder, 0
+        self.count, self.tables = len(columns), tables
         nothing = np.zeros(self.count, columns.dtype)
         self.dtype = columns.dtype
-        self._write(columns[:, 0] if columns.shape[1] else nothing, np.zeros(self.count, np.uint8))
+        self.tables.write(columns[:, 0] if columns.shape[1] else nothing, np.zeros(self.count, np.uint8))
         at = np.arange(self.count)
         for j in range(columns.shape[1]):
             following = columns[:, j + 1] if j + 1 < columns.shape[1] else nothing
@@ -113,13 +144,8 @@ class Collection:
                 break
             at[live] = self._insert(at[live], following[live])
 
-    def _write(self, symbols: np.ndarray, common: np.ndarray) -> None:
-        self.turn ^= 1
-        symbols.tofile(f"{self.folder}/bwt{self.turn}")
-        common.tofile(f"{self.folder}/lcp{self.turn}")
-
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(f"{self.folder}/bwt{self.turn}", self.dtype), np.fromfile(f"{self.folder}/lcp{self.turn}", np.uint8)
+        return self.tables.read()
 
     def _insert(self, rows: np.ndarray, following: np.ndarray) -> np.ndarray:
         """Extend the suffixes at the given rows by their symbols; the places of the new suffixes."""
@@ -132,18 +158,16 @@ class Collection:
         k = rank[rows]
         place = self.count + k - ended
         # Common prefixes with the suffix before and with the one after, where these begin alike.
-        minima = [common]
-        while 2 ** len(minima) <= n:
-            last, half = minima[-1], 2 ** (len(minima) - 1)
-            minima.append(np.minimum(last[:-half], last[half:]) if len(last) > half else last)
+        levels = n.bit_length()
+        minima = np.zeros((levels, n), np.uint8)
+        minima[0] = common
+        for v in range(1, levels):
+            half = 1 << (v - 1)
+            np.minimum(minima[v - 1, : n - half], minima[v - 1, half:], out=minima[v, : n - half])
 
         def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            level = np.frexp((high - low + 1).astype(float))[1] - 1
-            out = np.empty(len(low), np.uint8)
-            for v in np.unique(level):
-                w = np.flatnonzero(level == v)
-                out[w] = np.minimum(minima[v][low[w]], minima[v][high[w] - 2**v + 1])
-            return out
+            level = np.frexp((high - low + 1).astype(np.float32))[1] - 1
+            return np.minimum(minima[level, low], minima[level, high + 1 - (1 << level)])
 
         before = order[np.maximum(k - 1, 0)]
         alike = (k > 0) & (symbols[before] == symbols[rows])
@@ -161,7 +185,7 @@ class Collection:
         prefix[grown] = common
         prefix[place[alike] + 1] = 1 + np.minimum(nexts, 254)
         prefix[place] = own
-        self._write(merged, prefix)
+        self.tables.write(merged, prefix)
         return place
 
     def suffix_rows(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -178,13 +202,30 @@ class Collection:
             yield length, documents, rows
 
 
-def equal_strings(segments: list[bytes], starts: np.ndarray, folder: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _symbols(raw: np.ndarray, q: int) -> np.ndarray:
+    """A number for the ``q`` bytes from each place on; equal numbers are equal bytes."""
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    digit = np.zeros(256, np.uint64)
+    digit[used] = np.arange(len(used))
+    digits, base, n = digit[raw], len(used), len(raw) - q + 1
+    out, largest = np.zeros(n, np.uint64), 1
+    for k in range(q):
+        if largest * base >= 1 << 64:
+            # Too many for one number: those so far are numbered anew.
+            values, out = np.unique(out, return_inverse=True)
+            out, largest = out.astype(np.uint64), len(values)
+        out = out * np.uint64(base) + digits[k : n + k]
+        largest *= base
+    return out
+
+
+def equal_strings(segments: list[bytes], starts: np.ndarray, tables: Tables, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, class) for every start of every segment; equal classes are equal strings of ``width`` bytes."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     raw = np.frombuffer(b"".join(segments), np.uint8)
     offset = np.cumsum(sizes) - sizes
     q = SYMBOL
-    words = sum(raw[k : len(raw) - q + 1 + k].astype(np.uint32) << np.uint32(8 * (q - 1 - k)) for k in range(q))
+    words = _symbols(raw, q)
     segment = np.repeat(np.arange(len(segments)), q)
     phase = np.tile(np.arange(q), len(segments))
     lengths = np.maximum(sizes[segment] - phase, 0) // q
@@ -195,7 +236,7 @@ def equal_strings(segments: list[bytes], starts: np.ndarray, folder: str, width:
     values, codes = np.unique(words[where[real]], return_inverse=True)
     columns = np.zeros((len(segment), longest), np.uint16 if len(values) < 65535 else np.uint32)
     columns[real] = codes + 1
-    made = Collection(columns, folder)
+    made = Collection(columns, tables)
     _, common = made.read()
     classes = np.cumsum(common < width // q)
     found = []
@@ -222,16 +263,15 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[order[a]]), order[a:b]
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bytes]]:
-    """Parts of a batch of some megabytes: first row, next row, bytes, sizes."""
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Parts of a batch that fit a processor's cache: first row, bytes, sizes; texts stay whole."""
     texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
     low, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text)
         if held >= CHUNK or i + 1 == len(texts):
             some = texts[low : i + 1]
-            joined = b"".join(some)
-            yield low, i + 1, np.frombuffer(joined, np.uint8), np.fromiter(map(len, some), np.int64, len(some)), joined
+            yield low, np.frombuffer(b"".join(some), np.uint8), np.fromiter(map(len, some), np.int64, len(some))
             low, held = i + 1, 0
 
 
@@ -241,11 +281,11 @@ def _places_by_hash(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
-            for low, _, raw, sizes, _ in _texts(batch):
-                key, doc, start, count, twice = string_starts(raw, sizes)
+            made = [(low, string_starts(raw, sizes)) for low, raw, sizes in _texts(batch)]
+            if made:
+                key, doc, start, count, twice = (np.concatenate(x) for x in zip(*((k, d + low, *rest) for low, (k, d, *rest) in made)))
                 if not len(key):
                     continue
-                doc = doc + low
                 bucket = (key % np.uint64(parts)).astype(np.int64)
                 values, index, times = np.unique(key, return_inverse=True, return_counts=True)
                 # A hash met twice here needs no second witness: one row stands for it, the places go on as repeated.
@@ -405,7 +445,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((start, h, doc, key))
     cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     ends = np.r_[cut[1:], len(order)]
-    with tempfile.TemporaryDirectory(prefix="collection-", dir=os.environ.get("TMPDIR")) as folder:
+    with tempfile.TemporaryDirectory(prefix="collection-", dir=os.environ.get("TMPDIR")) as folder, contextlib.closing(Tables(folder)) as tables:
         low = 0
         while low < len(cut):
             high = low + 1
@@ -420,7 +460,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if first.setdefault(blob[at[r] : at[r] + size[r]], r) != r:
                     copies.append(r)
             own = np.fromiter(first.values(), np.int64, len(first))
-            seg, s, group = equal_strings(list(first), count[own], folder)
+            seg, s, group = equal_strings(list(first), count[own], tables)
             who = own[seg]
             place = start[who] + s
             by = np.lexsort((place, h[who], doc[who], group))
