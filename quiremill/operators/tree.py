@@ -67,7 +67,7 @@ class Node:
             at = len(out)
             row = {
                 "node_id": at, "parent_id": parent, "ordinal": ordinal, "depth": depth, "last_desc": at,
-                "type": node.type, "level": node.level, "value": node.value, "attrs": list(node.attrs.items()),
+                "type": node.type, "level": node.level, "value": node.value, "attrs": dict(node.attrs),
             }
             out.append(row)
             for i, child in enumerate(node.children):
@@ -100,16 +100,20 @@ def table(rows: list[list[str]], header: bool = True, **attrs) -> Node:
 
 def from_rows(rows: Iterable) -> Node | None:
     """The tree of nested-set rows, in any order; None without rows."""
+    def whole(x) -> int | None:
+        return None if x is None or x != x else int(x)  # data frames turn integers beside nulls into floats
+
     root, known = None, {}
     for r in sorted(rows, key=lambda r: r["node_id"]):
         attrs = dict(r["attrs"] or {})
-        node = Node(r["type"], value=r["value"], level=r["level"])
+        node = Node(r["type"], value=r["value"], level=whole(r["level"]))
+        parent = whole(r["parent_id"])
         node.attrs = attrs
         known[r["node_id"]] = node
-        if r["parent_id"] is None:
+        if parent is None:
             root = node
         else:
-            known[r["parent_id"]].children.append(node)
+            known[parent].children.append(node)
     return root
 
 

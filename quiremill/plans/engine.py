@@ -139,7 +139,7 @@ class Engine:
                     tree = rules.optimize(tree, rule_names)
                 text = _MARKDOWN.get(which, lambda t: render.settled(SHEETS(t)))(tree)
                 warning = meta.pop("warning", None)
-                out |= {"title": meta.get("title"), "markdown": text, "metadata": list(meta.items()), "nodes": tree.rows(), "output_size": len(text)}
+                out |= {"title": meta.get("title"), "markdown": text, "metadata": dict(meta), "nodes": tree.rows(), "output_size": len(text)}
                 out["warnings"] = [warning] if warning else []
             except Exception as e:
                 if mode.upper() == "FAILFAST":

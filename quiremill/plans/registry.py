@@ -25,8 +25,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from quiremill.plans import catalog  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quiremill.plans import catalog  # noqa: F401
+
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiremill.plans import catalog
+
+    return catalog.flagship(spark, sf_dir)

@@ -25,7 +25,7 @@ def _fold(times: Column, window_ms: int) -> Column:
 
 def limited(requests: DataFrame, key: str, ts: str, order: str, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """Append ``in_window`` and ``blocked``. A gap of a whole window begins a new one whatever came before it, so keys are folded in such runs."""
-    ms = F.unix_millis(ts)
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
     by = Window.partitionBy(key).orderBy(ts, order)
     gap = F.coalesce((ms - F.lag(ms).over(by) >= window_ms).cast("int"), F.lit(0))
     runs = requests.withColumn("_ms", ms).withColumn("_run", gap).withColumn("_run", F.sum("_run").over(by))
@@ -51,5 +51,5 @@ def limited_stream(requests: DataFrame, key: str, ts: str, window_ms: int = WIND
         state.update((count, reset))
         yield pd.DataFrame(out, columns=[key, "ms", "in_window", "blocked"])
 
-    keyed = requests.select(key, F.unix_millis(ts).alias("ms")).groupBy(key)
+    keyed = requests.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms")).groupBy(key)
     return keyed.applyInPandasWithState(each, f"{key} {kind}, ms long, in_window int, blocked boolean", "count int, reset long", "append", GroupStateTimeout.NoTimeout)
