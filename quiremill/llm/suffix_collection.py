@@ -18,8 +18,8 @@ again by the whole string.
 
 Defined results: a null or empty text has no bytes and no spans; strings never run from
 one document into another; a null doc_id comes after all others; of rows alike in doc_id,
-those with a smaller text hash come first; of rows alike in both, the second and later
-ones are repeats of the first; other columns are ignored.
+those with a smaller row hash come first; of rows alike in doc_id and text, the second and
+later ones are repeats of the first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.llm.common import written
@@ -252,9 +252,6 @@ def _packed(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns.keys()))
 
 
-_EMPTY = b""
-
-
 def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, positions) of each distinct key."""
     order = np.argsort(key, kind="stable")
@@ -275,255 +272,293 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             low, held = i + 1, 0
 
 
+#: Columns of packed arrays and the types of their numbers. A row is known by its doc_id and by ``dk``, a hash of doc_id and text.
+_KINDS = {"dk": np.int64, "doc": np.int64, "start": np.int32, "low": np.int32, "high": np.int32, "count": np.uint8, "crowded": np.uint8}
+
+
+def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    if name == "key":
+        return _keys(b"".join(x.as_py() for b in batches for x in b.column(name)))
+    return np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column(name)), _KINDS[name])
+
+
+def _key_bytes(key: np.ndarray) -> bytes:
+    """The upper six bytes of each hash; the lower ones have named the bucket."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+
+
 def _places_by_hash(parts: int):
-    """(doc, h, text) to rows by bucket: single places of hashes, and places already known to be repeated."""
+    """(dk, text) to packed places by bucket of their hash; those whose hash comes twice in a batch are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
+            dks = batch.column("dk").to_numpy()
             made = [(low, string_starts(raw, sizes)) for low, raw, sizes in _texts(batch)]
-            if made:
-                key, doc, start, count, twice = (np.concatenate(x) for x in zip(*((k, d + low, *rest) for low, (k, d, *rest) in made)))
-                if not len(key):
-                    continue
-                bucket = (key % np.uint64(parts)).astype(np.int64)
-                values, index, times = np.unique(key, return_inverse=True, return_counts=True)
-                # A hash met twice here needs no second witness: one row stands for it, the places go on as repeated.
-                again = (np.bincount(index, weights=twice) + times)[index] > 1
-                order = np.argsort(index, kind="stable")
-                lead = np.zeros(len(key), bool)
-                lead[order[np.r_[True, index[order][1:] != index[order][:-1]]]] = True
-                out = []
-                for b, rows in _groups(bucket[lead | again]):
-                    rows = np.flatnonzero(lead | again)[rows]
-                    known = again[rows]
-                    out.append((b, key[rows].tobytes(), docs[doc[rows]].tobytes(), hs[doc[rows]].tobytes(), start[rows].astype(np.int32).tobytes(), count[rows].astype(np.uint16).tobytes(), (known + lead[rows] * 2).astype(np.uint8).tobytes()))
-                columns = list(zip(*out))
-                yield _packed(bucket=pa.array(columns[0], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("key", "doc", "h", "start", "count", "state"), columns[1:])})
+            if not made:
+                continue
+            key, doc, start, count, twice = (np.concatenate(x) for x in zip(*((k, d + low, *rest) for low, (k, d, *rest) in made)))
+            if not len(key):
+                continue
+            # What is repeated within a batch needs no witness from elsewhere.
+            _, index, times = np.unique(key >> np.uint64(16), return_inverse=True, return_counts=True)
+            known = (np.bincount(index, weights=twice) + times)[index] > 1
+            marked = count.astype(np.uint8) | known.astype(np.uint8) << np.uint8(7)
+            out = [
+                (b, _key_bytes(key[rows]), dks[doc[rows]].tobytes(), start[rows].astype(np.int32).tobytes(), marked[rows].tobytes())
+                for b, rows in _groups(_bucket(key, parts))
+            ]
+            columns = list(zip(*out))
+            yield _packed(bucket=pa.array(columns[0], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("key", "dk", "start", "count"), columns[1:])})
 
     return run
 
 
-_BINARY = "key binary, doc binary, h binary, start binary, count binary"
-_KINDS = {"key": np.uint64, "doc": np.int64, "h": np.int64, "start": np.int32, "count": np.uint16, "state": np.uint8}
+def _repeated(parts: int):
+    """Of all places of this task's hashes those whose hash has another place, packed by bucket of their document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        key, dk, start, count = (_column(held, n) for n in ("key", "dk", "start", "count"))
+        _, index = np.unique(key, return_inverse=True)
+        # Rows alike in everything are one place.
+        order = np.lexsort((start, dk, index))
+        fresh = np.r_[True, (index[order][1:] != index[order][:-1]) | (dk[order][1:] != dk[order][:-1]) | (start[order][1:] != start[order][:-1])]
+        places = np.bincount(index[order[fresh]])
+        known = np.bincount(index, weights=count >> 7) > 0
+        keep = order[fresh]
+        keep = keep[(places[index[keep]] > 1) | known[index[keep]]]
+        crowded = (places > CROWD)[index].astype(np.uint8)
+        count = count & np.uint8(127)
+        for b, rows in _groups(np.mod(dk[keep], parts)):
+            rows = keep[rows]
+            made = (_key_bytes(key[rows]), dk[rows].tobytes(), start[rows].tobytes(), count[rows].tobytes(), crowded[rows].tobytes())
+            yield _packed(b=pa.array([b], pa.int64()), **{n: pa.array([x], pa.binary()) for n, x in zip(("key", "dk", "start", "count", "crowded"), made)})
 
+    return run
 
-def _column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), _KINDS[name]) for b in batches for x in b.column(name)])
-
-
-def _by_document(doc: np.ndarray, h: np.ndarray) -> Iterator[np.ndarray]:
-    order = np.lexsort((h, doc))
-    cut = np.flatnonzero(np.r_[True, (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])])
-    yield from np.split(order, cut[1:])
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all places of this task's hashes those whose hash has another place, by document."""
-    held = list(batches)
-    if not held:
-        return
-    key, doc, h, start, count, state = (_column(held, n) for n in _KINDS)
-    values, index = np.unique(key, return_inverse=True)
-    lead = (state & 2) > 0
-    # Rows alike in everything are one place.
-    order = np.lexsort((start, h, doc, index))
-    order = order[lead[order]]
-    fresh = np.r_[True, (index[order][1:] != index[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (start[order][1:] != start[order][:-1])] if len(order) else np.zeros(0, bool)
-    witnesses = np.bincount(index[order[fresh]], minlength=len(values))
-    known = np.zeros(len(values), bool)
-    known[index[(state & 1) > 0]] = True
-    keep = np.flatnonzero((witnesses[index] > 1) | known[index])
-    crowded = (witnesses > CROWD)[index]
-    if not len(keep):
-        return
-    out = []
-    for rows in _by_document(doc[keep], h[keep]):
-        rows = keep[rows]
-        out.append((int(doc[rows[0]]), int(h[rows[0]]), key[rows].tobytes(), start[rows].tobytes(), count[rows].tobytes(), crowded[rows].astype(np.uint8).tobytes()))
-    for low in range(0, len(out), 20000):
-        c = list(zip(*out[low : low + 20000]))
-        yield _packed(doc=pa.array(c[0], pa.int64()), h=pa.array(c[1], pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("key", "start", "count", "crowded"), c[2:])})
-
-
-def _covered(doc: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Ranges that are repeats, packed by document, as rows that need no further search."""
-    if not len(doc):
-        return
-    out = []
-    for rows in _by_document(doc, h):
-        out.append((int(doc[rows[0]]), int(h[rows[0]]), low[rows].astype(np.int32).tobytes() + high[rows].astype(np.int32).tobytes()))
-    d, hh, ranges = zip(*out)
-    bucket = [abs(x) % parts for x in hh]
-    yield _segment_batch(bucket, list(d), list(hh), list(ranges), None)
-
-
-def _segment_batch(bucket, docs, hs, ranges, packed) -> pa.RecordBatch:
-    n = len(bucket)
-    packed = packed or [[None] * n] * 6
-    return _packed(
-        bucket=pa.array(bucket, pa.int64()), d=pa.array(docs, pa.int64()), dh=pa.array(hs, pa.int64()), ranges=pa.array(ranges, pa.binary()),
-        **{name: pa.array(x, pa.binary()) for name, x in zip(("key", "doc", "h", "start", "count", "blob"), packed)},
-    )
+
+def _streamed(batches: Iterator[pa.RecordBatch], packed: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray], np.ndarray]]:
+    """(document rows, the packed columns of their bucket in order of dk, whether each row repeats the row before it).
+
+    A partition is sorted by bucket, with the packed rows before the documents.
+    """
+    bucket, gathered, known, last = None, [], None, None
+    for batch in batches:
+        buckets, kinds = batch.column("b").to_numpy(), batch.column("kind").to_numpy()
+        cut = np.flatnonzero(np.r_[True, (buckets[1:] != buckets[:-1]) | (kinds[1:] != kinds[:-1])])
+        for low, high in zip(cut, np.r_[cut[1:], batch.num_rows]):
+            part = batch.slice(int(low), int(high - low))
+            if buckets[low] != bucket:
+                bucket, gathered, known = buckets[low], [], None
+            if kinds[low] == 0:
+                gathered.append(part)
+                continue
+            if known is None:
+                known = {n: _packed_column(gathered, n) for n in packed}
+                order = np.argsort(known["dk"], kind="stable")
+                known = {n: x[order] for n, x in known.items()}
+                gathered = []
+            doc, dk = part.column("doc").to_numpy(), part.column("dk").to_numpy()
+            again = np.r_[last == (doc[0], dk[0]), (doc[1:] == doc[:-1]) & (dk[1:] == dk[:-1])]
+            last = (doc[-1], dk[-1])
+            yield part, known, again
+
+
+def _packed_column(batches: list[pa.RecordBatch], name: str) -> np.ndarray:
+    raw = b"".join(x.as_py() for b in batches for x in b.column(f"p_{name}"))
+    return _keys(raw) if name == "key" else np.frombuffer(raw, _KINDS[name])
+
+
+def _ranges(dk: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Ranges that are repeats, packed by bucket of their document."""
+    for b, rows in _groups(np.mod(dk, parts)):
+        yield b, dk[rows].tobytes(), doc[rows].tobytes(), low[rows].astype(np.int32).tobytes(), high[rows].astype(np.int32).tobytes()
+
+
+_SEGMENT = ("key", "dk", "doc", "start", "count", "blob")
+_RANGE = ("r_dk", "r_doc", "r_low", "r_high")
+
+
+def _segment_batch(bucket, segments=None, ranges=None) -> pa.RecordBatch:
+    nothing = [None] * len(bucket)
+    both = {**dict(zip(_SEGMENT, segments or [nothing] * 6)), **dict(zip(_RANGE, ranges or [nothing] * 4))}
+    return _packed(bucket=pa.array(bucket, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in both.items()})
 
 
 def _segments(parts: int):
-    """(doc, h, text, places) to segments by hash, each once in a batch, and to ranges that are repeats already."""
+    """Documents and their places to segments by hash, each once in a batch, and to ranges that are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
+        for part, places, again in _streamed(batches, ("key", "dk", "start", "count", "crowded")):
             first: dict[bytes, tuple] = {}
-            cov: list[tuple] = []
-            for i in range(batch.num_rows):
-                text = (batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")
-                doc, h = int(docs[i]), int(hs[i])
-                for p in batch.column("places")[i]:
-                    key = np.frombuffer(p["key"].as_py(), np.uint64).tolist()
-                    start = np.frombuffer(p["start"].as_py(), np.int32).tolist()
-                    count = np.frombuffer(p["count"].as_py(), np.uint16).tolist()
-                    crowd = p["crowded"].as_py()
-                    for k, s, c, crowded in zip(key, start, count, crowd):
-                        cuts = [(s + x, 1) for x in range(c)] if crowded else [(s, c)]
-                        for a, n in cuts:
-                            piece = text[a : a + n + WIDTH - 1]
-                            if crowded:
-                                k = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big")
-                            now = (doc, h, a, n, k)
-                            held = first.get(piece)
-                            if held is None:
-                                first[piece] = now
-                            else:
-                                if now[:3] < held[:3]:
-                                    first[piece] = now
-                                    now = held
-                                if now[:3] != first[piece][:3]:
-                                    cov.append((now[0], now[1], now[2], now[2] + n + WIDTH - 1))
-            if cov:
-                yield from _covered(*(np.array(x, np.int64) for x in zip(*cov)), parts)
+            done: list[tuple] = []
+            docs, dks = part.column("doc").to_numpy(), part.column("dk").to_numpy()
+            lows, highs = np.searchsorted(places["dk"], dks), np.searchsorted(places["dk"], dks, side="right")
+            texts = part.column("text")
+            for i in np.flatnonzero((highs > lows) & ~again):
+                text = (texts[int(i)].as_py() or "").encode("utf-8", "surrogatepass")
+                doc, dk, own = int(docs[i]), int(dks[i]), slice(lows[i], highs[i])
+                for k, s, c, crowded in zip(*(places[n][own].tolist() for n in ("key", "start", "count", "crowded"))):
+                    for a, n in [(s + x, 1) for x in range(c)] if crowded else [(s, c)]:
+                        piece = text[a : a + n + WIDTH - 1]
+                        if len(piece) < n + WIDTH - 1:
+                            continue  # the place of another row with the same hash
+                        if crowded:
+                            k = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big")
+                        now = (doc, dk, a, n, k)
+                        held = first.setdefault(piece, now)
+                        if held[:3] != now[:3]:
+                            if now[:3] < held[:3]:
+                                first[piece], now = now, held
+                            done.append((now[1], now[0], now[2], now[2] + n + WIDTH - 1))
+            if done:
+                found = list(zip(*_ranges(*(np.array(x, np.int64) for x in zip(*done)), parts)))
+                yield _segment_batch(found[0], None, found[1:])
             if not first:
                 continue
             pieces = list(first)
-            doc, h, start, count, key = (np.array(x, t) for x, t in zip(zip(*first.values()), (np.int64, np.int64, np.int32, np.uint16, np.uint64)))
-            out = []
-            for b, rows in _groups((key % np.uint64(parts)).astype(np.int64)):
-                out.append((b, key[rows].tobytes(), doc[rows].tobytes(), h[rows].tobytes(), start[rows].tobytes(), count[rows].tobytes(), b"".join([pieces[r] for r in rows])))
-            c = list(zip(*out))
-            nothing = [None] * len(out)
-            yield _segment_batch(list(c[0]), nothing, nothing, nothing, c[1:])
+            doc, dk, start, count, key = (np.array(x, t) for x, t in zip(zip(*first.values()), (np.int64, np.int64, np.int32, np.uint8, np.uint64)))
+            out = [
+                (b, _key_bytes(key[rows]), dk[rows].tobytes(), doc[rows].tobytes(), start[rows].tobytes(), count[rows].tobytes(), b"".join([pieces[r] for r in rows]))
+                for b, rows in _groups(_bucket(key, parts))
+            ]
+            columns = list(zip(*out))
+            yield _segment_batch(columns[0], columns[1:])
 
     return run
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of this task's hashes to the ranges that are repeats, by document."""
+def _search(parts: int):
+    """Segments of this task's hashes to the ranges that are repeats, packed by bucket of their document."""
 
-    def told(doc, h, low, high):
-        for rows in _by_document(doc, h):
-            yield int(doc[rows[0]]), int(h[rows[0]]), low[rows].astype(np.int32).tobytes() + high[rows].astype(np.int32).tobytes()
+    def shown(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found))
+        return _packed(b=pa.array(columns[0], pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("dk", "doc", "low", "high"), columns[1:])})
 
-    def shown(out):
-        d, hh, ranges = zip(*out)
-        return _packed(doc=pa.array(d, pa.int64()), h=pa.array(hh, pa.int64()), ranges=pa.array(ranges, pa.binary()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            passed = ~np.asarray(batch.column("r_dk").is_null())
+            if passed.any():
+                some = batch.filter(pa.array(passed))
+                yield _packed(b=some.column("bucket"), dk=some.column("r_dk"), doc=some.column("r_doc"), low=some.column("r_low"), high=some.column("r_high"))
+            if not passed.all():
+                held.append(batch.filter(pa.array(~passed)))
+        if not held:
+            return
+        key, dk, doc, start, count = (_column(held, n) for n in ("key", "dk", "doc", "start", "count"))
+        start, count = start.astype(np.int64), count.astype(np.int64)
+        size = count + WIDTH - 1
+        blob = b"".join(x.as_py() for b in held for x in b.column("blob"))
+        held.clear()
+        at = np.cumsum(size) - size
+        order = np.lexsort((start, dk, doc, key))
+        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        ends = np.r_[cut[1:], len(order)]
+        out: list[list[np.ndarray]] = []
+        with tempfile.TemporaryDirectory(prefix="collection-", dir=os.environ.get("TMPDIR")) as folder, contextlib.closing(Tables(folder)) as tables:
+            low = 0
+            while low < len(cut):
+                high = low + 1
+                while high < len(cut) and ends[high] - cut[low] <= BLOCK:
+                    high += 1
+                rows = order[cut[low] : ends[high - 1]]
+                low = high
+                # Equal segments, in order of their places: the first stands for all, the others are repeats.
+                first: dict[bytes, int] = {}
+                copies = []
+                for r in rows.tolist():
+                    if first.setdefault(blob[at[r] : at[r] + size[r]], r) != r:
+                        copies.append(r)
+                own = np.fromiter(first.values(), np.int64, len(first))
+                seg, s, group = equal_strings(list(first), count[own], tables)
+                who = own[seg]
+                place = start[who] + s
+                by = np.lexsort((place, dk[who], doc[who], group))
+                repeat = np.r_[False, group[by][1:] == group[by][:-1]]
+                who, place = who[by[repeat]], place[by[repeat]]
+                by = np.lexsort((place, who))
+                who, place = who[by], place[by]
+                fresh = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)]) if len(who) else np.zeros(0, int)
+                last = np.r_[fresh[1:], len(who)][: len(fresh)] - 1
+                copies = np.array(copies, np.int64)
+                row = np.r_[who[fresh], copies]
+                out.append([dk[row], doc[row], np.r_[place[fresh], start[copies]], np.r_[place[last] + WIDTH, start[copies] + size[copies]]])
+        columns = [np.concatenate(x) for x in zip(*out)]
+        if len(columns[0]):
+            yield shown(list(_ranges(*columns, parts)))
 
-    held = []
-    for batch in batches:
-        passed = np.flatnonzero(~np.asarray(batch.column("ranges").is_null()))
-        if len(passed):
-            some = batch.take(pa.array(passed))
-            yield _packed(doc=some.column("d"), h=some.column("dh"), ranges=some.column("ranges"))
-        if len(passed) < batch.num_rows:
-            held.append(batch.take(pa.array(np.flatnonzero(np.asarray(batch.column("ranges").is_null())))))
-    if not held:
-        return
-    key, doc, h, start, count = (_column(held, n) for n in ("key", "doc", "h", "start", "count"))
-    start, count = start.astype(np.int64), count.astype(np.int64)
-    size = count + WIDTH - 1
-    blob = b"".join(x.as_py() for b in held for x in b.column("blob"))
-    held.clear()
-    at = np.cumsum(size) - size
-    order = np.lexsort((start, h, doc, key))
-    cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    ends = np.r_[cut[1:], len(order)]
-    with tempfile.TemporaryDirectory(prefix="collection-", dir=os.environ.get("TMPDIR")) as folder, contextlib.closing(Tables(folder)) as tables:
-        low = 0
-        while low < len(cut):
-            high = low + 1
-            while high < len(cut) and ends[high] - cut[low] <= BLOCK:
-                high += 1
-            rows = order[cut[low] : ends[high - 1]]
-            low = high
-            # Equal segments, in order of their places: the first stands for all, the others are repeats.
-            first: dict[bytes, int] = {}
-            copies = []
-            for r in rows.tolist():
-                if first.setdefault(blob[at[r] : at[r] + size[r]], r) != r:
-                    copies.append(r)
-            own = np.fromiter(first.values(), np.int64, len(first))
-            seg, s, group = equal_strings(list(first), count[own], tables)
-            who = own[seg]
-            place = start[who] + s
-            by = np.lexsort((place, h[who], doc[who], group))
-            repeat = np.r_[False, group[by][1:] == group[by][:-1]]
-            who, place = who[by[repeat]], place[by[repeat]]
-            by = np.lexsort((place, who))
-            who, place = who[by], place[by]
-            fresh = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (place[1:] != place[:-1] + 1)]) if len(who) else np.zeros(0, int)
-            last = np.r_[fresh[1:], len(who)][: len(fresh)] - 1
-            copies = np.array(copies, np.int64)
-            d = np.r_[doc[who[fresh]], doc[copies]]
-            if len(d):
-                out = told(d, np.r_[h[who[fresh]], h[copies]], np.r_[place[fresh], start[copies]], np.r_[place[last] + WIDTH, start[copies] + size[copies]])
-                yield shown(list(out))
+    return run
+
+
+def _joined_spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Ranges in order, those that touch as one."""
+    order = np.argsort(low, kind="stable")
+    low, top = low[order].astype(np.int64), np.maximum.accumulate(high[order].astype(np.int64))
+    begins = np.flatnonzero(np.r_[True, low[1:] > top[:-1]]) if len(low) else np.zeros(0, int)
+    return np.c_[low[begins], top[np.r_[begins[1:], len(low)][: len(begins)] - 1]]
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ord, ranges) to what is removed and what is kept."""
-    for batch in batches:
+    """Documents and their ranges to what is removed and what is kept."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for part, known, again in _streamed(batches, ("dk", "doc", "low", "high")):
+        docs, dks = part.column("doc").to_numpy(), part.column("dk").to_numpy()
+        lows, highs = np.searchsorted(known["dk"], dks), np.searchsorted(known["dk"], dks, side="right")
         out = []
-        for text, nth, ranges in zip(batch.column("text"), batch.column("ord"), batch.column("ranges")):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if nth.as_py() > 1 and len(raw) >= WIDTH:
+        for i, value in enumerate(part.column("text")):
+            raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
+            if again[i] and len(raw) >= WIDTH:
                 spans = np.array([[0, len(raw)]])
             else:
-                both = [np.frombuffer(x, np.int32).reshape(2, -1).T for x in ranges.as_py() or []]
-                spans = np.concatenate(both).astype(np.int64) if both else np.zeros((0, 2), np.int64)
-                if len(spans):
-                    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-                    top = np.maximum.accumulate(spans[:, 1])
-                    begins = np.flatnonzero(np.r_[True, spans[1:, 0] > top[:-1]])
-                    spans = np.c_[spans[begins, 0], top[np.r_[begins[1:], len(spans)] - 1]]
+                own = slice(lows[i], highs[i])
+                mine = known["doc"][own] == docs[i]
+                spans = _joined_spans(known["low"][own][mine], known["high"][own][mine])
             kept, last = [], 0
             for a, b in spans.tolist():
                 kept.append(raw[last:a])
                 last = b
             kept.append(raw[last:])
             out.append((len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), b"".join(kept), [{"start": a, "stop": b} for a, b in spans.tolist()]))
-        n, gone, count, kept, spans = list(zip(*out)) or [[]] * 5
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        n, gone, count, kept, spans = list(zip(*out))
         yield _packed(
-            doc_id=batch.column("doc_id"), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(count, pa.int64()),
+            doc_id=part.column("doc_id"), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(count, pa.int64()),
             kept=pa.array(kept, pa.binary()), spans=pa.array(spans, span),
         )
 
 
+def _beside(base: DataFrame, packed: DataFrame, columns: tuple[str, ...], parts: int) -> DataFrame:
+    """Documents and the packed rows of their buckets in one partition, sorted as :func:`_streamed` reads them."""
+    left = base.select("*", F.pmod("dk", F.lit(parts)).cast("long").alias("b"), F.lit(1).alias("kind"))
+    right = packed.select("b", F.lit(0).alias("kind"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    return left.unionByName(right, allowMissingColumns=True).repartition(parts, "b").sortWithinPartitions("b", "kind", "doc", "dk")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    buckets = base.select("doc", "h", "text").mapInArrow(_places_by_hash(parts), f"bucket long, {_BINARY}, state binary")
-    repeated = buckets.repartition(parts, "bucket").select("key", "doc", "h", "start", "count", "state").mapInArrow(
-        _repeated, "doc long, h long, key binary, start binary, count binary, crowded binary"
-    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    base = base.withColumn("dk", F.xxhash64("doc", "text"))
+    names = ("key", "dk", "start", "count")
+    buckets = base.select("dk", "text").mapInArrow(_places_by_hash(parts), "bucket long, " + ", ".join(f"{n} binary" for n in names))
+    repeated = buckets.repartition(parts, "bucket").select(*names).mapInArrow(_repeated(parts), "b long, " + ", ".join(f"{n} binary" for n in (*names, "crowded")))
     repeated = written(repeated, "repeated-places")
-    places = repeated.groupBy("doc", "h").agg(F.collect_list(F.struct("key", "start", "count", "crowded")).alias("places"))
-    numbered = base.withColumn("ord", F.row_number().over(Window.partitionBy("doc", "h").orderBy("doc")))
-    cut = numbered.where("ord = 1").join(places, ["doc", "h"]).select("doc", "h", "text", "places")
-    kind = "bucket long, d long, dh long, ranges binary, key binary, doc binary, h binary, start binary, count binary, blob binary"
-    segments = cut.mapInArrow(_segments(parts), kind)
-    ranges = written(segments.repartition(parts, "bucket").mapInArrow(_search, "doc long, h long, ranges binary"), "repeated-ranges")
-    ranges = ranges.groupBy("doc", "h").agg(F.collect_list("ranges").alias("ranges"))
-    both = numbered.join(ranges, ["doc", "h"], "left").select("doc_id", "text", "ord", "ranges")
+    cut = _beside(base.select("dk", "doc", "text"), repeated, (*names, "crowded"), parts)
+    segments = cut.mapInArrow(_segments(parts), "bucket long, " + ", ".join(f"{n} binary" for n in (*_SEGMENT, *_RANGE)))
+    ranges = segments.repartition(parts, "bucket").mapInArrow(_search(parts), "b long, dk binary, doc binary, low binary, high binary")
+    ranges = written(ranges, "repeated-ranges")
+    both = _beside(base, ranges, ("dk", "doc", "low", "high"), parts)
     found = docs.schema["doc_id"].dataType.simpleString()
     return both.mapInArrow(_cleaned, f"doc_id {found}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,stop:long>>")
