@@ -242,14 +242,18 @@ def register_strategy(name: str, strategy: Callable[[Node, Options], list[Chunk]
     STRATEGIES[name] = strategy
 
 
+def strategy_of(options: Options) -> Callable[[Node, Options], list[Chunk]]:
+    if options.strategy not in STRATEGIES:
+        raise ValueError(f"no chunking strategy is named {options.strategy}")
+    return STRATEGIES[options.strategy]
+
+
 def chunk_tree(tree: Node, options: Options | None = None) -> list[Chunk]:
     o = options or Options()
-    if o.strategy not in STRATEGIES:
-        raise ValueError(f"no chunking strategy is named {o.strategy}")
-    return STRATEGIES[o.strategy](tree, o)
+    return strategy_of(o)(tree, o)
 
 
-def chunk_rows(tree: Node | None, options: Options | None = None) -> list[dict]:
+def chunk_rows(tree: Node | None, options: Options, pack: Callable[[Node, Options], list[Chunk]]) -> list[dict]:
     if tree is None:
         return []
     return [
@@ -258,23 +262,21 @@ def chunk_rows(tree: Node | None, options: Options | None = None) -> list[dict]:
             "end_index": c.start + c.tokens, "overlap_end": c.overlap_end, "content_type": classify(c.nodes),
             "types": ",".join(["document", *(n.type for top in c.nodes for n in top.walk())]),
         }
-        for i, c in enumerate(chunk_tree(tree, options))
+        for i, c in enumerate(pack(tree, options))
     ]
 
 
 def chunks(parsed: DataFrame, options: Options | None = None, key: str = "doc_id", nodes: str = "nodes") -> DataFrame:
     """One row for each chunk of a table with a nodes column; ids follow from the key, the place and the content."""
     o = options or Options()
-    if o.strategy not in STRATEGIES:
-        raise ValueError(f"no chunking strategy is named {o.strategy}")
-    name = o.strategy
+    name, pack = o.strategy, strategy_of(o)  # looked up here: workers know only the strategies of their own import
     kind = parsed.schema[key].dataType.simpleString()
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            out = [{key: k, **row} for k, n in zip(batch[key], batch[nodes]) for row in chunk_rows(from_rows(n) if n is not None else None, o)]
+            out = [{key: k, **row} for k, n in zip(batch[key], batch[nodes]) for row in chunk_rows(from_rows(n) if n is not None else None, o, pack)]
             yield pd.DataFrame(out, columns=[key, *_FIELDS])
 
     _FIELDS = [f.split(":")[0] for f in CHUNK[7:-1].split(",")]

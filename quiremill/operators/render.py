@@ -225,8 +225,12 @@ def register_renderer(name: str, render: Callable[[Node], str]) -> None:
     _RENDERERS[name] = render
 
 
-def render(node: Node | None, output: str = "markdown") -> str:
-    """By a renderer's name; a missing tree is an empty document."""
+def renderer_of(output: str) -> Callable[[Node], str]:
     if output not in _RENDERERS:
         raise ValueError(f"no renderer is named {output}")
-    return _RENDERERS[output](node or Node("document"))
+    return _RENDERERS[output]
+
+
+def render(node: Node | None, output: str = "markdown") -> str:
+    """By a renderer's name; a missing tree is an empty document."""
+    return renderer_of(output)(node or Node("document"))

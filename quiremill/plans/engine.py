@@ -168,7 +168,7 @@ class Engine:
 
     def rendered(self, results: DataFrame, output: str = "markdown", key: str = "doc_id") -> DataFrame:
         """(key, output) by a renderer's name."""
-        kind = results.schema[key].dataType.simpleString()
+        kind, write = results.schema[key].dataType.simpleString(), render.renderer_of(output)
 
         def run(batches):
             import pandas as pd
@@ -176,7 +176,8 @@ class Engine:
             from quiremill.operators.tree import from_rows
 
             for batch in batches:
-                yield pd.DataFrame({key: batch[key], "output": [render.render(from_rows(n) if n is not None else None, output) for n in batch["nodes"]]})
+                trees = (from_rows(n) if n is not None else None for n in batch["nodes"])
+                yield pd.DataFrame({key: batch[key], "output": [write(t or Node("document")) for t in trees]})
 
         return results.select(key, "nodes").mapInPandas(run, f"{key} {kind}, output string")
 
