@@ -211,15 +211,15 @@ def edits(a, b):
 
 def lines_kept(awkward, key):
     def normal(line):
-        return [x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.lower()) if x]
+        return [x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.translate(UPPER)) if x]
 
     prints = {}
     for _, t in awkward:
         for line in (t or "").split("\n"):
             w = normal(line)
             if len(w) >= 5 and " ".join(w) not in prints:
-                bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(x.encode(), 42) for x in w), np.uint8).reshape(-1, 8), axis=1).sum(0)
-                prints[" ".join(w)] = int.from_bytes(np.packbits(bits * 2 > len(w)).tobytes(), "big")
+                bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh64_digest(x.encode(), 42) for x in set(w)), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
+                prints[" ".join(w)] = int.from_bytes(np.packbits(bits * 2 > len(set(w))).tobytes(), "big")
     names = sorted(prints)
     close = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 3]
     group = grouped([(a, b) for a, b in close if edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)], names)
@@ -239,7 +239,8 @@ def lines_kept(awkward, key):
 @pytest.mark.parametrize("crowded", [line_dedup.CROWDED, 1])
 def test_lines(spark, docs, awkward, monkeypatch, crowded):
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
-    rows = [(d, t) for d, t in awkward] + [(90, awkward[5][1].split("\n")[0] + "."), (91, awkward[5][1].split("\n")[0].upper() + "!")]
+    long = " ".join(f"w{i}" for i in range(700))
+    rows = [(d, t) for d, t in awkward] + [(95, long), (96, long + " more"), (97, " ".join(f"v{i}" for i in range(128))), (98, " ".join(f"v{i}" for i in range(129))), (90, awkward[5][1].split("\n")[0] + "."), (91, awkward[5][1].split("\n")[0].upper() + "!")]
     hashes = {(last(r.doc_id), r.text or ""): r.h for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
     want = lines_kept(rows, lambda k: hashes[k])
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
