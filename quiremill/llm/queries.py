@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import decontamination, licence_scan, line_dedup, piece_codec, quality, secret_scan, simhash_trie, suffix_collection, vector_graph, warc_revisit
+from quiremill.llm import decontamination, licence_scan, line_dedup, oracles, piece_codec, quality, secret_scan, simhash_trie, suffix_collection, vector_graph, warc_revisit
 from quiremill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "n_near",
     )
 
 
@@ -105,34 +104,6 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "key", "response_id", "verdict", shown.alias("headers"), "digest", "length")
 
 
-OP8_SQL = r"""
-with base as (
-  select page_id, md5(coalesce(html, '')) digest, cast(strlen(html) as bigint) len, regexp_replace(trim(url), '#.*$', '') u from pages
-), parts as (
-  select *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') host,
-    regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
-      lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&') q from base
-), named as (
-  select page_id, digest, len, case when host <> '' then host || path || case when q <> '' then '?' || q else '' end end k,
-    '"' || digest || '"' tag, 'day ' || cast(page_id % 365 as varchar) d from parts
-), asked as (
-  select page_id * 2 + 1 record_id, k, page_id * 2 + 5 ts, case when page_id % 7 = 0 then '"foreign"' when page_id % 3 = 0 then null else tag end tag, d from named
-), met as (
-  select a.*, r.page_id * 2 response_id, r.tag rtag, r.d rd, r.digest, r.len
-  from asked a asof left join named r on a.k = r.k and a.ts > r.page_id * 2
-), judged as (
-  select *, case when response_id is null then 'none'
-    when tag is not null then case when tag = rtag then 'resolved' else 'mismatch' end
-    when d = rd then 'resolved' else 'mismatch' end verdict from met
-)
-select record_id, k as key, case when verdict = 'resolved' then response_id end response_id, verdict,
-  case when verdict = 'resolved' then 'cache-control=max-age=600;content-length=' || cast(len as varchar) || ';etag=' || rtag || ';last-modified=' || d end headers,
-  case when verdict = 'resolved' then digest end digest, case when verdict = 'resolved' then len end length
-from judged
-"""
-
-
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licence_scan.scan(docs).select(
@@ -166,4 +137,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_revisits": OP8_SQL}
+    return {
+        "op1_suffix_dedup": oracles.OP1_SQL,
+        "op4_decontamination": oracles.OP4_SQL,
+        "op6_secrets": oracles.OP6_SQL,
+        "op8_warc_revisits": oracles.OP8_SQL,
+        "op10_embeddings": oracles.OP10_SQL,
+    }
