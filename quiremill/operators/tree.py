@@ -189,3 +189,45 @@ def structure(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, structure): the types in document order, joined by commas."""
     gathered = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", "type"))).alias("t"))
     return gathered.select(key, F.array_join(F.transform("t", lambda x: x["type"]), ",").alias("structure"))
+
+
+def _attr(name: str) -> Column:
+    return F.try_element_at("attrs", F.lit(name)).alias(name)
+
+
+def images(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, node_id, src, alt, title, mimeType, width, height) of all images: the assets of documents."""
+    size = [F.try_element_at("attrs", F.lit(n)).cast("int").alias(n) for n in ("width", "height")]
+    return nodes.where("type = 'image'").select(key, "node_id", *map(_attr, ("src", "alt", "title", "mimeType")), *size)
+
+
+def links(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, node_id, href, title, text) of all links."""
+    own = nodes.where("type = 'link'").select(key, "node_id", _attr("href"), _attr("title"))
+    return own.join(texts(nodes, ["link"], key), [key, "node_id"])
+
+
+def table_cells(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, table_id, row_idx, col_idx, is_header, value) of all tables; a table is known by its place."""
+    rows = nodes.where("type = 'table-row'").select(
+        key, F.col("node_id").alias("_row"), F.col("parent_id").alias("table_id"), F.col("ordinal").alias("row_idx"),
+        F.coalesce(F.try_element_at("attrs", F.lit("isHeader")) == "true", F.lit(False)).alias("is_header"),
+    )
+    cells = nodes.where("type = 'table-cell'").select(key, "node_id", F.col("parent_id").alias("_row"), F.col("ordinal").alias("col_idx"))
+    met = cells.join(rows, [key, "_row"]).join(texts(nodes, ["table-cell"], key), [key, "node_id"])
+    return met.select(key, "table_id", "row_idx", "col_idx", "is_header", F.col("text").alias("value"))
+
+
+def table_data(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, table_id, headers, rows): the first row of each table, and the others."""
+    by_row = table_cells(nodes, key).groupBy(key, "table_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("c"))
+    by_row = by_row.select(key, "table_id", "row_idx", F.transform("c", lambda x: x["value"]).alias("cells"))
+    whole = by_row.groupBy(key, "table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("r"))
+    all_rows = F.transform("r", lambda x: x["cells"])
+    return whole.select(key, "table_id", F.get(all_rows, F.lit(0)).alias("headers"), F.slice(all_rows, 2, 1 << 30).alias("rows"))
+
+
+def merged_metadata(a: Column, b: Column) -> Column:
+    """Both maps as one; the second one's values hold."""
+    a, b = (F.coalesce(x, F.create_map().cast("map<string,string>")) for x in (a, b))
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)

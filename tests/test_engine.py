@@ -112,6 +112,17 @@ def test_tree_tables(spark, results):
     assert [r.node_id for r in one] == list(range(9)) and one[0].last_desc == 8 and [r.ordinal for r in one if r.depth == 1] == [0, 1, 2, 3]
 
 
+def test_tables_images_links(spark):
+    page = b"<table><thead><tr><th>h</th><th>i</th></tr></thead><tbody><tr><td>1</td><td><b>2</b></td></tr></tbody></table><p><a href='u'>l<i>i</i></a><img src='real.png' width=3 alt=A></p>"
+    nodes = tree.exploded(Engine(spark).convert(spark.createDataFrame([(1, page, "text/html")], "doc_id long, content binary, mime_type string")))
+    data = tree.table_data(nodes).first()
+    assert data.headers == ["h", "i"] and data["rows"] == [["1", "2"]]
+    assert [(r.src, r.alt, r.width) for r in tree.images(nodes).collect()] == [("real.png", "A", 3)]
+    assert [(r.href, r.text) for r in tree.links(nodes).collect()] == [("u", "li")]
+    both = spark.range(1).select(tree.merged_metadata(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2"))).alias("m"))
+    assert both.first().m == {"a": "1", "b": "2"}
+
+
 def test_changes_and_bundles(spark):
     old = spark.createDataFrame([(1, 0, "a", "s"), (1, 1, "b", "s"), (1, 2, None, "s")], "doc_id long, chunk_idx int, content_hash string, structure_hash string")
     new = spark.createDataFrame([(1, 0, "a", "s"), (1, 1, "c", "s"), (1, 2, None, "s"), (1, 3, "d", "s")], old.schema)
