@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,15 +195,32 @@ def fingerprint_links(fps: DataFrame, budget: int = 4, fp: str = "fp") -> DataFr
     return keyed.repartition(parts, "k", "v").select("fp", "k", "v").mapInArrow(run, "a long, b long")
 
 
+def _groups(marked: DataFrame, budget: int) -> DataFrame:
+    """(fp, component) of all distinct fingerprints; a component is named by one of its fingerprints."""
+    distinct = marked.select("fp").distinct()
+    links = written(fingerprint_links(distinct, budget), "fingerprint-links")
+    groups = connected_components(links)
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def components(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: (id, fp, component_id), the smallest id that links reach."""
     marked = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "fingerprints")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = written(fingerprint_links(marked.select("fp").distinct(), budget), "fingerprint-links")
-    groups = connected_components(links)
-    placed = firsts.join(groups, firsts.fp == groups.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
+    placed = firsts.join(_groups(marked, budget), "fp")
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the smallest doc_id, and of its rows the smallest text hash, once.
+
+    Null ids come after all others. A component's rows are never gathered: its first row is a minimum.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ql_doc"), F.xxhash64("text").alias("_ql_hash")]
+    marked = written(fingerprints(docs.select(*key, "text"), "text", shingle), "fingerprints")
+    firsts = marked.join(_groups(marked, budget), "fp").groupBy("component").agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
+    rows = docs.select("*", *key).join(firsts.select("f.*"), ["_ql_doc", "_ql_hash"], "left_semi")
+    over = Window.partitionBy("_ql_doc", "_ql_hash").orderBy(F.lit(0))  # rows alike in id and text
+    return rows.withColumn("_ql_n", F.row_number().over(over)).where("_ql_n = 1").select(*docs.columns)
