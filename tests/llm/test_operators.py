@@ -240,7 +240,7 @@ def lines_kept(awkward, key):
 def test_lines(spark, docs, awkward, monkeypatch, crowded):
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
     long = " ".join(f"w{i}" for i in range(700))
-    rows = [(d, t) for d, t in awkward] + [(95, long), (96, long + " more"), (97, " ".join(f"v{i}" for i in range(128))), (98, " ".join(f"v{i}" for i in range(129))), (90, awkward[5][1].split("\n")[0] + "."), (91, awkward[5][1].split("\n")[0].upper() + "!")]
+    rows = [(d, t) for d, t in awkward] + [(95, long)] * 4 + [(97, " ".join(f"v{i}" for i in range(128)))] * 3 + [(95, long), (96, long + " more"), (97, " ".join(f"v{i}" for i in range(128))), (98, " ".join(f"v{i}" for i in range(129))), (90, awkward[5][1].split("\n")[0] + "."), (91, awkward[5][1].split("\n")[0].upper() + "!")]
     hashes = {(last(r.doc_id), r.text or ""): r.h for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
     want = lines_kept(rows, lambda k: hashes[k])
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
