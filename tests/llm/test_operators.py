@@ -142,6 +142,13 @@ def test_quality_learns(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in held)
 
 
+def test_quality_marked_words_at_any_length():
+    for n in (10, 19_998, 20_000, 60_000):
+        words = [("a,b", "cd", "(e)~")[i % 3] if i % 5 else "plain" for i in range(n)]
+        share = sum(any(c in ",()~" for c in w) for w in words) / n
+        assert quality.statistics(" ".join(words))[21] == share
+
+
 def test_quality_awkward(spark, docs, no_docs):
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
     assert {r.score for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0.5}
