@@ -255,6 +255,33 @@ def test_lines(spark, docs, awkward, monkeypatch, crowded):
     assert sum(r.n_dropped for r in found) > 5 and sum(r.text is None for r in found) == sum(t is None for _, t in rows)
 
 
+@pytest.mark.parametrize("crowded", [line_dedup.CROWDED, 1])
+def test_lines_by_edit_similarity(spark, monkeypatch, crowded):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefghijklmno"), int(r.integers(3, 9))))
+    lines = []
+    for size in (5, 10, 20, 40):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            lines.append(" ".join(base))
+            for _ in range(3):
+                own = list(base)
+                own[int(r.integers(size))] = word()
+                lines.append(" ".join(own))
+    lines += ["All rights reserved", "menu", "all rights, reserved!", "Menu", "menus", "", ""] + [" ".join(["same"] * n) for n in range(20, 24)]
+    normal = [" ".join(WORD.findall(x.translate(UPPER))) for x in lines]
+    pairs = [(a, b) for a in set(normal) for b in set(normal) if a < b and min(len(a.split()), len(b.split())) >= 5 and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    group, seen, want = grouped(pairs, set(normal)), set(), []
+    for i, x in enumerate(normal):
+        if not x or group[x] not in seen:
+            want.append((i, lines[i]))
+        seen.add(group[x])
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = line_dedup.dedup_lines(rows, bits=None).where("n_dropped = 0")
+    assert sorted((x.doc_id, x.text) for x in found.collect()) == want and len(want) < 35
+
+
 def test_lines_keep_other_columns(docs, no_docs):
     out = line_dedup.dedup_lines(docs)
     assert set(docs.columns) <= set(out.columns) and out.count() == docs.count()
