@@ -9,7 +9,8 @@ word after the other, until the longest run of agreeing words on either side is
 
 Exact matches are windows of ``window`` consecutive item words (an item of fewer words
 is one window). Proximity matches are windows whose words all stand, in any order,
-within ``window + slop`` words around the anchor, without being exact matches.
+less than ``window + slop`` words before or after the anchor, without being exact matches.
+Windows that share an anchor are one row, and each of them is tested.
 
 Defined results: a null or empty text or item has no words and matches nothing; rows
 alike in doc_id and text are one document and get the same result each; items alike in
@@ -53,7 +54,7 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def _anchors(index: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """(word, item_id, need, before, after, members): the rarest word of each window with its neighbours."""
+    """(word, item_id, need, before, after, core, span): the rarest word of windows with its neighbours, the words that all these windows hold, and those that any holds."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("iw"))
     items = items.where(F.size("iw") > 0).distinct()
     places = items.select("item_id", "iw", F.posexplode("iw").alias("j", "word"))
@@ -68,7 +69,8 @@ def _anchors(index: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     )
     last = F.greatest(F.size("iw") - window, F.lit(0))
     chosen = rarest.where(F.col("j") <= last).groupBy("item_id", "iw", F.col("a.word").alias("word"), F.col("a.at").alias("at"))
-    chosen = chosen.agg(F.min("j").alias("first"))
+    chosen = chosen.agg(F.min("j").alias("first"), F.max("j").alias("last"))  # the windows between them have this anchor too
+    kept = F.lit(window) - (F.col("last") - F.col("first"))
     side = F.lit(window - 1)
     return chosen.select(
         "word",
@@ -76,7 +78,8 @@ def _anchors(index: DataFrame, bench: DataFrame, window: int) -> DataFrame:
         F.least(F.size("iw"), F.lit(window)).alias("need"),
         F.reverse(F.slice("iw", F.greatest(F.col("at") - side + 1, F.lit(1)), F.least(F.col("at"), side))).alias("before"),
         F.slice("iw", F.col("at") + 2, side).alias("after"),
-        F.array_distinct(F.slice("iw", F.col("first") + 1, F.lit(window))).alias("members"),
+        F.array_distinct(F.slice("iw", F.col("last") + 1, kept)).alias("core"),
+        F.slice("iw", F.col("first") + 1, F.col("last") - F.col("first") + window).alias("span"),
     )
 
 
@@ -113,7 +116,9 @@ def matches(index: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int
     r = _reach(right, lambda k: F.get("after", F.lit(k - 1)), wide)
     l = _reach(left, lambda k: F.get("before", F.lit(k - 1)), wide)  # noqa: E741
     exact = l + r + 1 >= F.col("need")
-    close = F.size(F.array_except("members", near)) == 0
+    # A run of ``need`` words of the span that are all near is a window; most rows fail at the core.
+    held = F.array_join(F.transform("span", lambda w: F.when(F.array_contains(near, w), "1").otherwise("0")), "")
+    close = (F.size(F.array_except("core", near)) == 0) & held.contains(F.expr("repeat('1', need)"))
     found = met.where(exact | close)
     return written(
         found.select(

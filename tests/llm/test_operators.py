@@ -196,6 +196,32 @@ def test_proximity(spark):
     assert {r.doc_id: (len(r["items"]), r.n_near) for r in decontamination.report(docs, bench).collect()} == {1: (0, 1), 2: (1, 0), 3: (0, 0)}
 
 
+@pytest.mark.parametrize("anchors", [decontamination.BROADCAST_ANCHORS, -1])
+def test_proximity_of_every_window(spark, monkeypatch, anchors):
+    monkeypatch.setattr(decontamination, "BROADCAST_ANCHORS", anchors)
+    item = [f"w{i}" for i in range(30)]
+    r = np.random.default_rng(6)
+    texts = [" ".join(item[i] for i in [*range(10, 20)][::-1])]
+    for _ in range(40):
+        low, size = int(r.integers(0, 22)), int(r.integers(8, 14))
+        words = [*item[low : low + size], *["x"] * int(r.integers(0, 9))]
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += [" ".join(x for i, x in enumerate(item) if i != 15)] * 2  # w15 is rare
+    counts = Counter(w for t in set(enumerate(texts)) for w in t[1].split())
+    want = {}
+    for d, t in enumerate(texts):
+        w, near, exact = t.split(), False, False
+        for j in range(21):
+            window = item[j : j + 10]
+            exact |= any(w[p : p + 10] == window for p in range(len(w)))
+            rare = min(window, key=lambda x: (counts[x], x))
+            near |= any(x == rare and set(window) <= set(w[max(0, p - 14) : p + 15]) for p, x in enumerate(w))
+        want[d] = int(near and not exact)
+    found = decontamination.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
+    assert {x.doc_id: x.n_near for x in found.collect()} == want and want[0] == 1 and sum(want.values()) > 5
+
+
 def test_contamination_empty(spark, docs, no_docs, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.report(no_docs, none).count() == 0
