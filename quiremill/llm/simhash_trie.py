@@ -224,3 +224,80 @@ def one_of_each(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame
     rows = docs.select("*", *key).join(firsts.select("f.*"), ["_ql_doc", "_ql_hash"], "left_semi")
     over = Window.partitionBy("_ql_doc", "_ql_hash").orderBy(F.lit(0))  # rows alike in id and text
     return rows.withColumn("_ql_n", F.row_number().over(over)).where("_ql_n = 1").select(*docs.columns)
+
+
+#: Bands of smallest hashes by which texts meet: at a shingle similarity of 0.8 all but 0.5 % of pairs share one.
+BANDS, ROWS = 10, 4
+#: Texts under one band up to which all pairs are compared at once; above, the smallest comes first.
+CROWDED = 8
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    runs = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in runs), np.uint64))
+
+
+def _bands(texts: DataFrame, size: int) -> DataFrame:
+    """(h, text) to rows (h, k): one for each band."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            keys = []
+            for text in batch.column(1):
+                own = shingles(text.as_py(), size)
+                least = [(m := own * f, (m ^ m >> np.uint64(32)) * f)[1].min() for f in factors]
+                rows = np.array(least, np.uint64).reshape(BANDS, ROWS)
+                keys += [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.array(keys, np.uint64).view(np.int64))], ["h", "k"])
+
+    return texts.mapInArrow(run, "h long, k long")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of (a, b) those pairs whose shingle sets are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = shingles(x.as_py(), size), shingles(y.as_py(), size)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (texts.select(F.col("h").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def one_of_each_alike(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Like :func:`one_of_each`, for components of texts linked by the Jaccard similarity of their shingles, checked exactly."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ql_doc"), F.xxhash64("text").alias("_ql_hash")]
+    texts = written(docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]), "texts")
+    under = Window.partitionBy("k")
+    met = _bands(texts, shingle).select("h", "k", F.count("*").over(under).alias("n"), F.min("h").over(under).alias("hub"))
+    met = written(met.where("n > 1"), "text-meetings")
+    few = met.where(f"n <= {CROWDED}")
+    pairs = few.select("k", F.col("h").alias("a")).join(few.select("k", F.col("h").alias("b")), "k").where("a < b").select("a", "b")
+    star = met.where(f"n > {CROWDED} and h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
+    pairs = written(pairs.unionByName(star).distinct(), "text-pairs")
+    edges = written(_alike(pairs, texts, shingle, similarity), "text-links")
+    groups = connected_components(edges)
+    placed = met.where(f"n > {CROWDED}").join(groups, F.col("h") == F.col("node"), "left").select("k", "h", F.coalesce("component", "h").alias("g"))
+    left, right = (placed.select("k", F.col("h").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
+    more = left.join(right, "k").where("ga < gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "text-pairs")
+    if not more.isEmpty():
+        groups = connected_components(edges.unionByName(_alike(more, texts, shingle, similarity)))
+    rows = docs.select("*", *key)
+    named = rows.select("_ql_doc", "_ql_hash").join(groups, F.col("_ql_hash") == F.col("node"), "left")
+    firsts = named.groupBy(F.coalesce("component", "_ql_hash").alias("g")).agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
+    rows = rows.join(firsts.select("f.*"), ["_ql_doc", "_ql_hash"], "left_semi")
+    over = Window.partitionBy("_ql_doc", "_ql_hash").orderBy(F.lit(0))  # rows alike in id and text
+    return rows.withColumn("_ql_n", F.row_number().over(over)).where("_ql_n = 1").select(*docs.columns)
