@@ -116,18 +116,21 @@ def matches(index: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int
     r = _reach(right, lambda k: F.get("after", F.lit(k - 1)), wide)
     l = _reach(left, lambda k: F.get("before", F.lit(k - 1)), wide)  # noqa: E741
     exact = l + r + 1 >= F.col("need")
-    # A run of ``need`` words of the span that are all near is a window; most rows fail at the core.
-    held = F.array_join(F.transform("span", lambda w: F.when(F.array_contains(near, w), "1").otherwise("0")), "")
-    close = (F.size(F.array_except("core", near)) == 0) & held.contains(F.expr("repeat('1', need)"))
-    found = met.where(exact | close)
-    return written(
-        found.select(
+    close = F.size(F.array_except("core", near)) == 0
+    # Written first: an interpreted test in this step would keep a row with all words for each token of a document.
+    found = written(
+        met.where(exact | close).select(
             "doc_id", "h", "item_id", exact.alias("exact"),
             F.when(exact, F.col("place") - l).cast("long").alias("start"),
             F.when(exact, F.col("place") + r + 1).cast("long").alias("stop"),
-        ).distinct(),
-        "matches",
+            "need", "span", near.alias("near"),
+        ),
+        "meetings",
     )
+    # A run of ``need`` words of the span that are all near is a window.
+    held = F.array_join(F.transform("span", lambda w: F.when(F.array_contains("near", w), "1").otherwise("0")), "")
+    found = found.where(F.col("exact") | held.contains(F.expr("repeat('1', need)")))
+    return written(found.select("doc_id", "h", "item_id", "exact", "start", "stop").distinct(), "matches")
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
