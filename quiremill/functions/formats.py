@@ -63,10 +63,10 @@ SIGNATURES = (
     ("audio/flac", ((0, "664C6143"),)),
 )
 
-#: Bytes of an image that name it although no general signature does.
+# Bytes of an image that name it although no general signature does.
 IMAGE_SIGNATURES = (*(s for s in SIGNATURES if s[0].startswith("image/")), ("image/x-icon", ((0, "00000100"),)), ("image/vnd.adobe.photoshop", ((0, "38425053"),)))
 
-#: Converters in the order in which they are asked: id, MIME types, extensions.
+# Converters in the order in which they are asked: id, MIME types, extensions.
 CONVERTERS = (
     ("pdf", ("application/pdf",), (".pdf",)),
     ("docx", (EXTENSIONS[".docx"],), (".docx",)),
@@ -140,21 +140,28 @@ def mime(content: Column, name: Column) -> Column:
     return F.coalesce(mime_of_content(content), mime_of_name(name))
 
 
-def converter(mime_type: Column, name: Column, content: Column) -> Column:
+def converter(mime_type: Column, name: Column, content: Column, kinds=CONVERTERS) -> Column:
     """The converter of a document: a given type decides alone, then a name, then the content."""
     ext = extension_of(name)
 
     def choose(value: Column, which: int) -> Column:
         out = None
-        for kind in CONVERTERS:
+        for kind in kinds:
             test = value.isin(*kind[which])
             out = F.when(test, kind[0]) if out is None else out.when(test, kind[0])
-        return out
+        return out if out is not None else F.lit(None).cast("string")
 
     by_mime, by_ext = choose(F.lower(mime_type), 1), choose(ext, 2)
     return F.when(mime_type.isNotNull(), by_mime).when(name.isNotNull() & ext.isNotNull(), by_ext).otherwise(choose(mime_of_content(content), 1))
 
 
+def can_convert(converter_id: str, mime_type: Column, name: Column, kinds=CONVERTERS) -> Column:
+    """Whether one converter takes a document: its type or its extension is enough."""
+    mimes, extensions = next((k[1:] for k in kinds if k[0] == converter_id), ((), ()))
+    tests = [F.lower(mime_type).isin(*mimes), extension_of(name).isin(*extensions)]
+    return F.coalesce(tests[0], F.lit(False)) | F.coalesce(tests[1], F.lit(False))
+
+
 def within_size(length: Column, limit: int = SIZE_LIMIT) -> Column:
     return F.coalesce(length <= limit, F.lit(True))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,14 +72,41 @@ def register_tokenizer(name: str, count) -> None:
     TOKENIZERS[name] = count
 
 
+@functools.cache
+def _hasher(seed: int, factor: int):
+    """The fold h * factor + code over UTF-16 units as a sum of units times powers, wrapped at 32 bits.
+
+    A fold in the JVM boxes every character as a string; over Arrow it is one product of arrays.
+    """
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        held = np.ones(1, np.uint32)
+
+        def one(text: str | None) -> int | None:
+            nonlocal held
+            if text is None:
+                return None
+            units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32)
+            n = len(units)
+            if len(held) <= n:
+                held = np.cumprod(np.r_[np.uint32(1), np.full(2 * n, factor, np.uint32)], dtype=np.uint32)
+            total = (int(np.sum(units * held[:n][::-1], dtype=np.uint32)) + seed * int(held[n])) & 0xFFFFFFFF
+            return abs(total - (1 << 32) if total >= 1 << 31 else total)
+
+        return pd.Series([one(x) for x in texts], dtype="Int64")
+
+    return hashed
+
+
 def rolling_hash(text: Column, seed: int, factor: int) -> Column:
-    """The 32-bit rolling hash of a text as an unsigned magnitude: h * factor + code, wrapped as a signed integer."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """The 32-bit rolling hash of a text as an unsigned magnitude: h * factor + UTF-16 unit, wrapped as a signed integer."""
+    return _hasher(seed, factor)(text)
 
-    def step(h: Column, c: Column) -> Column:
-        return F.pmod(h * factor + c + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)
 
-    return F.abs(F.aggregate(codes, F.lit(seed).cast("long"), step))
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, where ``use`` reads it in a lambda function or more than once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hex8(number: Column) -> Column:
@@ -102,11 +133,14 @@ def bundle_hash(text: Column) -> Column:
 def word_windows(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """Windows of words that step by size less overlap and end with the first that reaches the end."""
     step = size - min(max(overlap, 0), max(1, size) - 1)
-    own = words(text)
-    count = F.when(F.size(own) == 0, 0).otherwise(1 + F.ceil(F.greatest(F.lit(0), F.size(own) - size) / step)).cast("int")
-    # The range of windows is empty for a text without words.
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.slice(own, i * step + 1, size))
+
+    def cut(own: Column) -> Column:
+        count = F.when(F.size(own) == 0, 0).otherwise(1 + F.ceil(F.greatest(F.lit(0), F.size(own) - size) / step)).cast("int")
+        # The range of windows is empty for a text without words.
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.slice(own, i * step + 1, size))
+
+    return bound(words(text), cut)
 
 
 def sentences(text: Column) -> Column:
@@ -205,22 +239,21 @@ def markdown_to_plain(text: Column) -> Column:
 def markdown_to_html(text: Column) -> Column:
     """Inline marks first, then lines that are no blocks are gathered into paragraphs."""
     lines = F.transform(F.split(_chain(text, TO_HTML), "\n"), trim_all)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        block = line.rlike("^<(h|pre|ul|blockquote|img|a )")
-        closed = F.when(acc["open"], F.concat(acc["out"], F.array(F.lit("</p>")))).otherwise(acc["out"])
-        begun = F.when(acc["open"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.lit("<p>"))))
-        return (
-            F.when(line == "", F.struct(closed.alias("out"), F.lit(False).alias("open")))
-            .when(block, F.struct(F.concat(closed, F.array(line)).alias("out"), F.lit(False).alias("open")))
-            .otherwise(F.struct(F.concat(begun, F.array(line)).alias("out"), F.lit(True).alias("open")))
-        )
-
-    def end(acc: Column) -> Column:
-        return F.array_join(F.when(acc["open"], F.concat(acc["out"], F.array(F.lit("</p>")))).otherwise(acc["out"]), "\n")
-
-    return F.aggregate(lines, start, step, end)
+
+    def is_text(line: Column) -> Column:
+        return (line != "") & ~line.rlike("^<(h|pre|ul|blockquote|img|a )")
+
+    def marked(own: Column) -> Column:
+        """Each line with the paragraph marks before it; a blank line after the last one closes the last paragraph."""
+
+        def one(line: Column, i: Column) -> Column:
+            after_text = F.coalesce(is_text(F.get(own, i - 1)), F.lit(False))
+            mark = F.when(is_text(line) & ~after_text, F.lit("<p>")).when(~is_text(line) & after_text, F.lit("</p>"))
+            return F.concat_ws("\n", mark, F.nullif(line, F.lit("")))
+
+        return F.transform(own, one)
+
+    return F.array_join(F.filter(bound(F.concat(lines, F.array(F.lit(""))), marked), lambda x: x != ""), "\n")
 
 
 def viewer_html(text: Column) -> Column:

@@ -29,10 +29,13 @@ def changed(old: DataFrame, new: DataFrame, key: str = "doc_id", index: str = "c
 
 
 def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(content_hash, n, first) of contents that come more than once."""
-    return docs.select(key, X.content_hash(F.col(text)).alias("content_hash")).groupBy("content_hash").agg(
-        F.count("*").alias("n"), F.min(key).alias("first")
-    ).where("n > 1")
+    """(content_hash, digest, n, first) of contents that come more than once, apart from case and spaces.
+
+    Contents are equal by the SHA-256 of their normal form; the 32-bit hash beside it is no proof of that.
+    """
+    normal = docs.select(key, X.normalised(F.col(text)).alias("_normal"))
+    marked = normal.select(key, F.sha2(F.col("_normal").cast("binary"), 256).alias("digest"), X.plain_hash(F.col("_normal")).alias("content_hash"))
+    return marked.groupBy("content_hash", "digest").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
 def packed(results: DataFrame, *fields: str) -> DataFrame:

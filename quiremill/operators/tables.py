@@ -42,7 +42,7 @@ def filled(cells: DataFrame, merges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def dense(cells: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each table: its grid as rows of texts, without blank columns and rows; names for a blank first row."""
+    """One row for each table: its grid as rows of texts, without blank columns and rows."""
     size = cells.groupBy(*key).agg(F.max("r").alias("h"), F.max("c").alias("w"), F.collect_list(F.struct(F.struct("r", "c").alias("k"), F.coalesce("value", F.lit("")).alias("v"))).alias("all"))
     known = F.map_from_entries("all")
     grid = F.transform(

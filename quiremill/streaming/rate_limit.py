@@ -4,49 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_MS = 60_000
 MOST = 100
 
 
-def _fold(times: Column, window_ms: int) -> Column:
-    """For each time (in order) how many requests its window has had by then."""
-    start = F.struct(F.lit(None).cast("long").alias("reset"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        new = a["reset"].isNull() | (t >= a["reset"])
-        count = F.when(new, 1).otherwise(a["count"] + 1)
-        return F.struct(F.when(new, t + window_ms).otherwise(a["reset"]).alias("reset"), count.alias("count"), F.concat(a["out"], F.array(count)).alias("out"))
-
-    return F.aggregate(times, start, step)["out"]
-
-
 def limited(requests: DataFrame, key: str, ts: str, order: str, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
-    """Append ``in_window`` and ``blocked``. A gap of a whole window begins a new one whatever came before it, so keys are folded in such runs."""
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    by = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.coalesce((ms - F.lag(ms).over(by) >= window_ms).cast("int"), F.lit(0))
-    runs = requests.withColumn("_ms", ms).withColumn("_run", gap).withColumn("_run", F.sum("_run").over(by))
-    grouped = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("_ms", order))).alias("all"))
-    counts = _fold(F.transform("all", lambda x: x["_ms"]), window_ms)
-    flat = grouped.select(key, F.explode(F.arrays_zip("all", counts.alias("count"))).alias("z"))
-    return flat.select(key, F.col(f"z.all.{order}").alias(order), F.col("z.count").alias("in_window"), (F.col("z.count") > most).alias("blocked"))
+    """(key, order, in_window, blocked) of each request; a request after a window's end begins a new one.
+
+    Each window begins where the last one ended, so a key's requests are read in order by one task, as a stream:
+    what it holds is one count and one end.
+    """
+    ms = F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms")
+    rows = requests.select(key, order, ms, F.col(ts).alias("_ts"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, reset, count = [], 0, 0
+        for batch in batches:
+            counts = []
+            for k, t in zip(batch[key], batch["_ms"]):
+                if held != [k]:
+                    held, reset, count = [k], None, 0
+                if reset is None or t > reset:
+                    reset, count = t + window_ms, 0
+                count += 1
+                counts.append(count)
+            out = batch[[key, order]].assign(in_window=counts)
+            yield out.assign(blocked=out["in_window"] > most)
+
+    return rows.repartition(key).sortWithinPartitions(key, "_ts", order).mapInPandas(run, f"{kinds}, in_window int, blocked boolean")
 
 
 def limited_stream(requests: DataFrame, key: str, ts: str, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """The same over a stream, with each key's count and reset time as state."""
-    import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kind = requests.schema[key].dataType.simpleString()
 
     def each(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        count, reset = state.get if state.exists else (0, 0)
+        count, reset = state.get if state.exists else (0, None)
         out = []
         for t in sorted(x for b in batches for x in b["ms"]):
-            count, reset = (1, t + window_ms) if t >= reset else (count + 1, reset)
+            count, reset = (1, t + window_ms) if reset is None or t > reset else (count + 1, reset)
             out.append((group[0], t, count, count > most))
         state.update((count, reset))
         yield pd.DataFrame(out, columns=[key, "ms", "in_window", "blocked"])
