@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as T
@@ -281,7 +281,22 @@ def chunks(parsed: DataFrame, options: Options | None = None, key: str = "doc_id
 
     _FIELDS = [f.split(":")[0] for f in CHUNK[7:-1].split(",")]
     made = parsed.select(key, nodes).mapInPandas(run, f"{key} {kind}, " + ", ".join(x.replace(":", " ", 1) for x in CHUNK[7:-1].split(",")))
-    return made.withColumn("chunk_id", F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), F.lit(name), F.col("chunk_idx").cast("string"), "content"), 256))
+    return made.withColumn("chunk_id", _chunk_id(F.col(key), name, F.col("chunk_idx"), F.col("content")))
+
+
+def _chunk_id(key: Column, strategy: str, index: Column, content: Column) -> Column:
+    return F.sha2(F.concat_ws("\u0001", key.cast("string"), F.lit(strategy), index.cast("string"), content), 256)
+
+
+def named_chunks(parsed: DataFrame, options: Options, key: str = "doc_id") -> DataFrame:
+    """Give the chunks of a ``chunks`` column their ids."""
+    one = lambda c: c.withField("chunk_id", _chunk_id(F.col(key), options.strategy, c["chunk_idx"], c["content"]))
+    return parsed.withColumn("chunks", F.transform("chunks", one))
+
+
+def exploded_chunks(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each chunk of a ``chunks`` column."""
+    return parsed.select(key, F.explode("chunks").alias("_c")).select(key, "_c.*")
 
 
 def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,4 +307,8 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, key: str =
     return windows.select(key, "chunk_idx", F.array_join("w", " ").alias("content"), count.alias("token_count"), (F.col("chunk_idx").cast("long") * size).alias("start_index"))
 
 
-__all__ = ["NODES", "Chunk", "Options", "chunk_rows", "chunk_tree", "chunks", "classify", "fixed_chunks", "register_strategy"]
+CHUNKS = f"array<{CHUNK}>"
+
+__all__ = [
+    "CHUNKS", "NODES", "Chunk", "Options", "chunk_rows", "chunk_tree", "chunks", "classify", "exploded_chunks", "fixed_chunks", "named_chunks", "register_strategy", "strategy_of",
+]

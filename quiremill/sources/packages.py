@@ -229,6 +229,10 @@ def column_number(letters: str) -> int:
     return n - 1
 
 
+#: Cells that a sheet may have once merged ranges are filled.
+MOST_CELLS = 5_000_000
+
+
 def column_letters(number: int) -> str:
     out = ""
     number += 1
@@ -264,20 +268,21 @@ def sheet_cells(root: ET.Element, shared: list[str]) -> tuple[dict[tuple[int, in
 
 
 def grid(cells: dict[tuple[int, int], str], merges: list[tuple[int, int, int, int]]) -> list[list[str]]:
-    """A full grid: merged ranges are filled, blank columns and then blank rows go, a blank first row gets names."""
+    """A full grid: merged ranges are filled, and rows and columns without a text go.
+
+    Only rows and columns in use are laid out, so a far cell costs nothing; a sheet of more than ``MOST_CELLS`` is refused.
+    """
+    merges = [m for m in merges if (m[0], m[1]) in cells]
+    if len(cells) + sum((bottom - top + 1) * (right - left + 1) for top, left, bottom, right in merges) > MOST_CELLS:
+        raise ValueError(f"a sheet of more than {MOST_CELLS} cells")
     cells = dict(cells)
     for top, left, bottom, right in merges:
-        if (top, left) in cells:
-            cells |= {(r, c): cells[top, left] for r in range(top, bottom + 1) for c in range(left, right + 1)}
-    if not cells:
-        return []
-    height, width = (max(x) + 1 for x in zip(*cells))
-    rows = [[cells.get((r, c), "") for c in range(width)] for r in range(height)]
-    full = [c for c in range(width) if any(r[c].strip() for r in rows)]
-    rows = [[r[c] for c in full] for r in rows if any(x.strip() for x in r)]
-    if rows and not any(x.strip() for x in rows[0]):
-        rows[0] = [f"Column {column_letters(i)}" for i in range(len(rows[0]))]
-    return rows
+        cells |= {(r, c): cells[top, left] for r in range(top, bottom + 1) for c in range(left, right + 1)}
+    full = [at for at, text in cells.items() if text.strip()]
+    rows, columns = (sorted(set(x)) for x in zip(*full)) if full else ([], [])
+    if len(rows) * len(columns) > MOST_CELLS:
+        raise ValueError(f"a sheet of more than {MOST_CELLS} cells")
+    return [[cells.get((r, c), "") for c in columns] for r in rows]
 
 
 def parse_xlsx(content: bytes, name: str | None = None) -> tuple[Node, dict[str, str]]:

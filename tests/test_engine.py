@@ -1,14 +1,17 @@
 """The engine, chunks, tree tables, layout, bundles and streams."""
 
 import datetime as dt
+import io
 
 import pytest
 from pyspark.sql import functions as F
 
+from quiremill.functions import formats
 from quiremill.operators import fingerprint, pdf_layout, rules, tables, tree
 from quiremill.operators.chunk import Chunk, Options, chunk_tree, chunks, classify, register_strategy
 from quiremill.operators.tree import Node, heading, paragraph, text_node
 from quiremill.plans.engine import Engine, PluginError
+from quiremill.sources import media
 from quiremill.streaming import rate_limit, watch
 
 DOCS = [
@@ -61,11 +64,77 @@ def test_plugins_and_middleware(spark):
     rows = engine.convert(spark.createDataFrame(DOCS, "doc_id long, content binary, file_name string, mime_type string")).collect()
     assert [(r.doc_id, r.markdown, r.seen) for r in rows] == [(7, "# T\n\nBODY", True)]
     engine.remove("shout")
-    assert "text" not in engine.converters
+    assert engine.converters["text"] is media.parse_text and engine.converter_for_mime("text/plain") == "text"
     with pytest.raises(PluginError):
         engine.remove("shout")
 
 
+def test_new_formats_are_dispatched(spark):
+    engine = Engine(spark)
+    engine.register_converter("foo", lambda content, name=None: (Node("document", [paragraph("foo " + content.decode())]), {}), ["application/x-foo"], ["foo"])
+    assert (engine.converter_for_mime("Application/X-Foo"), engine.converter_for_extension("FOO"), engine.converter_ids()[0]) == ("foo", "foo", "foo")
+    rows = [(1, b"a", "a.foo", None), (2, b"b", None, "application/x-foo"), (3, b"<p>c</p>", "c.html", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, content binary, file_name string, mime_type string")
+    assert {r.doc_id: r.markdown for r in engine.convert(docs).collect()} == {1: "foo a", 2: "foo b", 3: "c"}
+    engine.unregister_converter("foo")
+    assert engine.convert(docs).where("error is null").count() == 1 and engine.converter_for_extension(".foo") is None
+    kinds = docs.select("doc_id", formats.can_convert("html", F.col("mime_type"), F.col("file_name")).alias("ok")).collect()
+    assert {r.doc_id: r.ok for r in kinds} == {1: False, 2: False, 3: True}
+
+
+def test_providers(spark):
+    def read_pdf(data):
+        texts = [x.split(",") for x in data.decode()[5:].split(";")]
+        return [(1, 10.0, 700.0 - 20 * i, float(size), text) for i, (text, size) in enumerate(texts)]
+
+    engine = Engine(spark, recognise=lambda data, mime: f"seen {mime}", transcribe=lambda data, name: f"heard {name}", read_pdf=read_pdf)
+    rows = [(1, b"\x89PNG", "a.png", None), (2, b"ID3", "b.mp3", None), (3, b"%PDF Ti,24;body,10;more,10;more,10", "c.pdf", None), (4, b"%PDF bad", "d.pdf", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, content binary, file_name string, mime_type string")
+    found = {r.doc_id: r.markdown for r in engine.convert(docs).collect()}
+    assert "seen image/png" in found[1] and found[2] == "heard b.mp3"
+    pdfs = {r.doc_id: r.markdown for r in engine.pdf_results(docs.where("doc_id > 2")).collect()}
+    assert pdfs[3].startswith("# Ti") and "body" in pdfs[3] and pdfs[4] is None
+
+
+def test_too_large_files_are_errors(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("small")
+    (tmp_path / "in" / "b.txt").write_text("far too large")
+    engine = Engine(spark)
+    out = engine.convert(engine.files(str(tmp_path / "in"), limit=8))
+    assert sorted((r.markdown or "", (r.error or "").split(":")[0]) for r in out.collect()) == [("", "FileTooLarge"), ("small", "")]
+    assert [(r.total, r.failed) for r in engine.summary(out).collect()] == [(2, 1)]
+
+
+def test_mirrored_files(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.html").write_text("<h1>A</h1>")
+    (tmp_path / "in" / "sub" / "b.txt").write_text("b")
+    engine = Engine(spark)
+    out = engine.convert(engine.files(str(tmp_path / "in")))
+    for _ in range(2):
+        engine.write_files(out, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a.md": "# A", "sub/b.md": "b"}
+    shown = io.StringIO()
+    engine.write_stream(out, shown)
+    assert sorted(shown.getvalue().split()) == ["#", "A", "b"]
+
+
+def test_chunks_of_the_same_pass(spark, results):
+    options = Options("heading", 64)
+    docs = spark.createDataFrame(DOCS, "doc_id long, content binary, file_name string, mime_type string")
+    engine = Engine(spark)
+    once = engine.chunks(engine.convert(docs, chunking=options))
+    twice = engine.chunks(results, options)
+    assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, twice.select(sorted(twice.columns)).collect())) and once.count() > 2
+
+
+def test_duplicates_are_equal_texts(spark):
+    rows = [(1, "A  b"), (2, "a b "), (3, "a c"), (4, None), (5, None), (6, "😀")]
+    found = fingerprint.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.n, r.first) for r in found if r.digest] == [(2, 1)]
+
+
 def test_chunk_strategies():
     doc = Node("document", [heading(1, "A"), paragraph("one two three"), heading(3, "C"), paragraph("four five"), Node("page-break", pageNumber=2), paragraph("six"), Node("thematic-break"), Node("code", value="x = 1")])
     found = chunk_tree(doc)
@@ -164,7 +233,7 @@ def test_consecutive(spark):
 def _brute(times, window, most):
     out, reset, count = [], None, 0
     for t in times:
-        reset, count = (t + window, 1) if reset is None or t >= reset else (reset, count + 1)
+        reset, count = (t + window, 1) if reset is None or t > reset else (reset, count + 1)
         out.append(count > most)
     return out
 
