@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiremill.functions import formats
@@ -31,7 +31,12 @@ def converted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL that several queries share ----------------------------------------------------------------------------------
 
-_SP = T.SPACES
+# Written out, so that a wrong pattern in the library shows.
+_SP = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_SEG = r"[A-Za-z0-9_'']+|[^A-Za-z0-9_\s]+"
+_CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
+_FOOTERS = r"(?i)page \d+ of \d+|copyright ©|\(c\)\s*\d{4}|all rights reserved"
+_DECOR = "(?i)pixel|tracking|spacer|blank|1x1|badge|icon|spinner|logo|avatar|thumb|loading"
 
 
 def _words_sql(x: str) -> str:
@@ -46,9 +51,6 @@ def _normal_sql(x: str) -> str:
     return _trim_sql(f"regexp_replace(lower({x}), '[{_SP}]+', ' ', 'g')")
 
 
-_SEG = T.SEGMENTS.replace("'", "''")
-
-
 def _hash_sql(text: str, seed: int, factor: int) -> str:
     step = f"(((a * {factor} + c + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648"
     codes = f"list_transform(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda x: cast(unicode(x) as bigint))"
@@ -74,7 +76,7 @@ def fast_tokens(spark, sf_dir):
 @query(
     "model_tokens",
     f"""select doc_id, cast(case when {_trim_sql('text')} = '' then 0 else greatest(1, coalesce(list_sum(list_transform(regexp_extract_all(text, '{_SEG}'),
-        lambda x: case when regexp_matches(x, '{T.CJK}') then length(x) else greatest(1, ceil(length(x) / 4)) end)), 0)) end as bigint) n_tokens from documents""",
+        lambda x: case when regexp_matches(x, '{_CJK}') then length(x) else greatest(1, ceil(length(x) / 4)) end)), 0)) end as bigint) n_tokens from documents""",
 )
 def model_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text"), "gpt-4o").alias("n_tokens"))
@@ -92,7 +94,8 @@ def bundle_hash(spark, sf_dir):
 
 @query(
     "duplicate_contents",
-    f"""select content_hash, count(*) n, min(doc_id) as "first" from (select doc_id, {_hash_sql(_normal_sql('text'), 5381, 33)} content_hash from documents) group by 1 having count(*) > 1""",
+    f"""with n as (select {_normal_sql('text')} x, count(*) n, min(doc_id) "first" from documents group by 1 having count(*) > 1)
+    select {_hash_sql('x', 5381, 33)} content_hash, sha256(x) digest, n, "first" from n""",
 )
 def duplicate_contents(spark, sf_dir):
     return fingerprint.duplicates(read(spark, sf_dir, "documents"))
@@ -145,7 +148,7 @@ def sentence_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("boilerplate_lines", f"select doc_id, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) l from documents) where regexp_matches(l, '{T.BOILERPLATE}') group by 1")
+@query("boilerplate_lines", f"select doc_id, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) l from documents) where regexp_matches(l, '{_FOOTERS}') group by 1")
 def boilerplate_lines(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     return lines.where(T.is_boilerplate(F.col("l"))).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -229,7 +232,16 @@ def markdown_to_plain(spark, sf_dir):
     return _marked_up(spark, sf_dir).select("doc_id", T.markdown_to_plain(F.col("md")).alias("plain"))
 
 
-@query("markdown_to_html")
+@query(
+    "markdown_to_html",
+    f"""with l as (select doc_id, unnest(string_split(h, chr(10))) l, generate_subscripts(string_split(h, chr(10)), 1) i from (select doc_id, {_chain_sql('md', T.TO_HTML)} h from (select doc_id, {_MD} md from documents))),
+    k as (select doc_id, i, {_trim_sql('l')} l from l),
+    t as (select doc_id, i, l, case when l = '' then 'blank' when regexp_matches(l, '^<(h|pre|ul|blockquote|img|a )') then 'block' else 'text' end t from k),
+    p as (select *, coalesce(lag(t) over (partition by doc_id order by i), 'blank') before, lead(t) over (partition by doc_id order by i) next from t),
+    o as (select doc_id, i * 4 o, '<p>' x from p where t = 'text' and before <> 'text' union all select doc_id, i * 4, '</p>' from p where t <> 'text' and before = 'text'
+      union all select doc_id, i * 4 + 1, l from p where t <> 'blank' union all select doc_id, i * 4 + 2, '</p>' from p where t = 'text' and next is null)
+    select d.doc_id, coalesce(string_agg(x, chr(10) order by o), '') html from documents d left join o on d.doc_id = o.doc_id group by d.doc_id""",
+)
 def markdown_to_html(spark, sf_dir):
     return _marked_up(spark, sf_dir).select("doc_id", T.markdown_to_html(F.col("md")).alias("html"))
 
@@ -280,7 +292,7 @@ def safe_urls(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.is_safe_url(url).alias("safe_link"), T.is_safe_url(url, True).alias("safe_image"))
 
 
-@query("decorative", f"select page_id, regexp_matches(url, '{T.DECORATIVE}') decorative from pages")
+@query("decorative", f"select page_id, regexp_matches(url, '{_DECOR}') decorative from pages")
 def decorative(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.is_decorative(F.col("url")).alias("decorative"))
 
@@ -326,6 +338,114 @@ def batch_summary(spark, sf_dir):
     return engine.summary(engine.convert(_pages(spark, sf_dir).unionByName(texts)))
 
 
+def _made(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Documents (doc_id, content) of one file name, converted."""
+    return Engine(spark).convert(rows.select("doc_id", "content", F.lit(name).alias("file_name")))
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    """Regions with their nations in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(ordered.alias("n"))
+
+
+_SHEETS_SQL = f"select t.n_regionkey doc_id, markdown, cast(k as varchar) \"rows\" from ({_TABLE_SQL}) t join (select n_regionkey, count(*) k from nation group by 1) c on c.n_regionkey = t.n_regionkey"
+
+
+@query("csv_documents", _SHEETS_SQL)
+def csv_documents(spark, sf_dir):
+    line = lambda x: F.concat_ws(",", x["n_nationkey"].cast("string"), F.concat(F.lit('"'), x["n_name"], F.lit('"')))
+    text = F.concat_ws("\r\n", F.lit("n_nationkey,n_name"), F.array_join(F.transform("n", line), "\r\n"))
+    made = _made(spark, _nations(spark, sf_dir).select("doc_id", F.encode(text, "UTF-8").alias("content")), "nations.csv")
+    return made.select("doc_id", "markdown", F.try_element_at("metadata", F.lit("rows")).alias("rows"))
+
+
+@query("json_documents", _SHEETS_SQL)
+def json_documents(spark, sf_dir):
+    made = _made(spark, _nations(spark, sf_dir).select("doc_id", F.encode(F.to_json("n"), "UTF-8").alias("content")), "nations.json")
+    return made.select("doc_id", "markdown", F.try_element_at("metadata", F.lit("rows")).alias("rows"))
+
+
+_ITEM = "'<item><title>' || n_name || '</title><link>http://example.com/' || n_nationkey || '</link><description>Nation ' || n_nationkey || '</description></item>'"
+
+
+@query(
+    "feed_documents",
+    f"""with f as (select n_regionkey, '<rss><channel><title>Region ' || n_regionkey || '</title><description>All</description>' || string_agg({_ITEM}, '' order by n_nationkey) || '</channel></rss>' x,
+      string_agg('## ' || n_name || chr(10) || chr(10) || 'Link: [http://example.com/' || n_nationkey || '](http://example.com/' || n_nationkey || ')' || chr(10) || chr(10) || 'Nation ' || n_nationkey, chr(10) || chr(10) order by n_nationkey) m
+      from nation group by 1)
+    select n_regionkey doc_id, 'Region ' || n_regionkey title, '# Region ' || n_regionkey || chr(10) || chr(10) || 'All' || chr(10) || chr(10) || m || chr(10) || chr(10) || '## XML Source' || chr(10) || chr(10) || '```xml' || chr(10) ||
+      replace(x, '><', '>' || chr(10) || '<') || chr(10) || '```' markdown from f""",
+)
+def feed_documents(spark, sf_dir):
+    def item(x):
+        key = x["n_nationkey"].cast("string")
+        return F.concat(
+            F.lit("<item><title>"), x["n_name"], F.lit("</title><link>http://example.com/"), key, F.lit("</link><description>Nation "), key, F.lit("</description></item>")
+        )
+
+    text = F.concat(
+        F.lit("<rss><channel><title>Region "), F.col("doc_id").cast("string"), F.lit("</title><description>All</description>"),
+        F.array_join(F.transform("n", item), ""), F.lit("</channel></rss>"),
+    )
+    made = _made(spark, _nations(spark, sf_dir).select("doc_id", F.encode(text, "UTF-8").alias("content")), "feed.xml")
+    return made.select("doc_id", "title", "markdown")
+
+
+@query(
+    "archive_documents",
+    """with r as (select n_regionkey, n_name || '.txt' p, cast(strlen(n_name) as varchar) || ' B' s from nation),
+    w as (select n_regionkey, greatest(4, max(length(p)))::int a, greatest(4, max(length(s)))::int b, count(*) k from r group by 1),
+    l as (select r.n_regionkey, p, '| ' || rpad(p, a, ' ') || ' | ' || rpad(s, b, ' ') || ' | File |' l from r join w on r.n_regionkey = w.n_regionkey)
+    select w.n_regionkey doc_id, '# Archive: nations.zip' || chr(10) || chr(10) || k || ' files, 0 directories' || chr(10) || chr(10) || '| ' || rpad('Path', a, ' ') || ' | ' || rpad('Size', b, ' ') || ' | Type |' || chr(10) ||
+      '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' | ---- |' || chr(10) || string_agg(l, chr(10) order by p) markdown
+    from w join l on w.n_regionkey = l.n_regionkey group by w.n_regionkey, a, b, k""",
+)
+def archive_documents(spark, sf_dir):
+    """Archives that are packed here, as no table holds any."""
+
+    def pack(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            out = []
+            for nations in batch["n"]:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for x in nations:
+                        z.writestr(f"{x['n_name']}.txt", x["n_name"])
+                out.append(held.getvalue())
+            yield batch[["doc_id"]].assign(content=out)
+
+    rows = _nations(spark, sf_dir)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return _made(spark, rows.mapInPandas(pack, f"doc_id {kind}, content binary"), "nations.zip").select("doc_id", "markdown")
+
+
+@query("image_documents", "select page_id doc_id, 'image/png' mime_type, cast(page_id % 900 + 2 as varchar) width, cast(strlen(html) as varchar) height from pages")
+def image_documents(spark, sf_dir):
+    """Pictures that are heads of PNG files."""
+    number = lambda x: F.lpad(F.hex(x), 8, "0")
+    head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(F.col("page_id") % 900 + 2), number(F.octet_length("html")), F.lit("0806000000")))
+    made = Engine(spark).convert(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), head.alias("content")))
+    known = lambda name: F.try_element_at("metadata", F.lit(name))
+    return made.select("doc_id", known("mimeType").alias("mime_type"), known("width").alias("width"), known("height").alias("height"))
+
+
+@query(
+    "unread_documents",
+    """select page_id doc_id, case page_id % 3 when 0 then 'pdf' when 1 then 'audio' end converter_id, case page_id % 3 when 0 then '[PDF content could not be extracted]'
+      when 1 then '[Audio content: no transcription provider is configured]' end markdown, page_id % 3 = 2 failed, page_id % 3 = 0 warned from pages""",
+)
+def unread_documents(spark, sf_dir):
+    """What stands for documents that nothing here can read."""
+    kind = F.col("page_id") % 3
+    head = F.when(kind == 0, "%PDF-1.7").when(kind == 1, "ID3 sound").otherwise("????")
+    made = Engine(spark).convert(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode(head, "UTF-8").alias("content")))
+    return made.select("doc_id", "converter_id", "markdown", F.col("error").isNotNull().alias("failed"), (F.size("warnings") > 0).alias("warned"))
+
+
 @query("page_chunks")
 def page_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir, Options("heading", 128))
@@ -333,7 +453,7 @@ def page_chunks(spark, sf_dir):
 
 def _chunks(spark, sf_dir, options):
     engine = Engine(spark)
-    made = engine.chunks(converted_pages(spark, sf_dir), options)
+    made = engine.chunks(engine.convert(_pages(spark, sf_dir), chunking=options))
     return fingerprint.fingerprinted(made).select("doc_id", "chunk_idx", "chunk_id", "heading_path", "content", "token_count", "content_type", "content_hash", "structure_hash")
 
 
@@ -379,16 +499,13 @@ def optimized_pages(spark, sf_dir):
 
 
 @query(
-    "conversation_pages",
-    f"""select conv_id, turn, role, n, sum(n) over (partition by conv_id order by turn) running from (select conv_id, turn, role, cast(len({_words_sql('text')}) as bigint) n from conversations)
-        qualify true""".replace("sum(n) over (partition by conv_id order by turn)", "cast(sum(n) over (partition by conv_id order by turn rows unbounded preceding) as bigint)").replace(" qualify true", ""),
+    "rate_limited",
+    """with recursive e as (select user_id, event_id, epoch_ms(ts) ms, row_number() over (partition by user_id order by ts, event_id) n from events),
+    r as (select user_id, event_id, n, ms + 60000 reset, 1 c from e where n = 1
+      union all select e.user_id, e.event_id, e.n, case when e.ms > r.reset then e.ms + 60000 else r.reset end, case when e.ms > r.reset then 1 else r.c + 1 end
+      from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+    select user_id, event_id, cast(c as int) in_window, c > 3 blocked from r""",
 )
-def conversation_pages(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.word_count(F.col("text")).alias("n"))
-    return turns.withColumn("running", F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-@query("rate_limited")
 def rate_limited(spark, sf_dir):
     return rate_limit.limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", most=3)
 
