@@ -1,21 +1,27 @@
-"""Benchmark decontamination by a positional inverted index, in DataFrame operations only.
+"""Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The training tokens are stored once as postings: a written table with the words of each
-document in order, from which (word, document, place) rows are read. From the counts of
-the test words in it, each window of a test item gets an anchor, its rarest word. The
-anchors' postings are met with the test items by that word; the lists of the other
-words, moved by their offsets, are intersected with them outwards from the anchor, one
-word after the other, until the longest run of agreeing words on either side is known.
+The index is a written table of postings (w, doc_id, h, place), one for each token of the
+training texts that is a test word; ``w`` is the word's hash. As in a search engine,
+each shard of the documents has its own inverted lists: a file holds the lists of its
+documents, sorted by word, document and place, so that a frequent word is spread over
+all files, a word's list is one run of rows and the columns pack to few bytes.
+
+A window of test words is looked up from its rarest word: that word's list gives the
+anchors, the list of the second rarest word is intersected with it, and of the anchors
+left the lists of all other words are asked, moved by their offsets. All lists are met by
+word, document and a block of places, so that neither a frequent word nor a long
+document is one key.
 
 Exact matches are windows of ``window`` consecutive item words (an item of fewer words
-is one window). Proximity matches are windows whose words all stand, in any order,
-less than ``window + slop`` words before or after the anchor, without being exact matches.
-Windows that share an anchor are one row, and each of them is tested.
-
-Defined results: a null or empty text or item has no words and matches nothing; rows
-alike in doc_id and text are one document and get the same result each; items alike in
-id count once; a null item_id is named by the empty string; an empty benchmark hits
-nothing; further columns are ignored.
+is one window). Proximity matches are windows whose words all stand, in any order and as
+often as in the window, in ``slop`` more consecutive words than the window has. Every
+window is tested for both.
+
+Defined results: a null or empty text or item has no words and matches nothing; texts
+and items of any length are taken whole; rows alike in doc_id and text are one document
+and get the same result each; items alike in id count once; a null item_id is named by
+the empty string; an empty benchmark hits nothing, and an empty table of documents gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,116 +33,146 @@ from quiremill.llm.common import written
 
 WINDOW = 10
 SLOP = 5
-#: Anchors that are sent to every task; more are joined by shuffle. About 500 bytes each.
-BROADCAST_ANCHORS = 50_000
-#: Distinct test words that are sent to every task while counting.
+#: Windows that are sent to every task, about 300 bytes each; more are joined by shuffle.
+BROADCAST_WINDOWS = 50_000
+#: Test words, and documents with candidates, that are sent to every task, 8 bytes each; more are joined by shuffle.
 BROADCAST_WORDS = 500_000
+BROADCAST_DOCS = 500_000
+#: Parts of a word's list where it is joined by shuffle.
+SALTS = 16
 
-_SEPARATORS = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+_CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _lower(word: Column) -> Column:
+    """A-Z in lower case and nothing else; the quick way holds where all characters are ASCII."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _UPPER.lower()))
+
+
 def words(text: Column) -> Column:
     """Words of a text: A-Z in lower case, cut at every ASCII character that is no letter or digit."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _SEPARATORS, _UPPER.lower() + " " * len(_SEPARATORS))
-    return F.array_remove(F.split(plain, " "), "")
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), _CUT), lambda x: x != ""), _lower)
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n_words): a document is known by its doc_id and the hash of its text."""
+    count = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), count.alias("n_words"))
 
 
-def stored_postings(docs: DataFrame) -> DataFrame:
-    """Written table (doc_id, h, n_words, words): the positional index, kept in document order."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words"))
-    return written(base.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), "words"), "postings")
+def _salted(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join by shuffle, with the rows of each key of ``many`` dealt over ``SALTS`` tasks by their place."""
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod("place", F.lit(SALTS))).join(dealt, [on, "salt"], how).drop("salt")
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """One row (word, doc_id, h, place) for each stored token."""
-    return index.select("doc_id", "h", F.posexplode("words").alias("place", "word"))
+def stored_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Written index (w, doc_id, h, place) of all tokens, or of those whose word hash is in ``vocabulary`` (w)."""
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", _CUT)).alias("place", "word"))
+    tokens = tokens.where("word != ''").select(F.xxhash64(_lower(F.col("word"))).alias("w"), "doc_id", "h", "place")
+    if vocabulary is not None:
+        few = vocabulary.count() <= BROADCAST_WORDS
+        tokens = tokens.join(F.broadcast(vocabulary), "w", "left_semi") if few else _salted(tokens, vocabulary, "w", "left_semi")
+    return written(tokens.sortWithinPartitions("w", "doc_id", "h", "place"), "postings")
 
 
-def _anchors(index: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """(word, item_id, need, before, after, core, span): the rarest word of windows with its neighbours, the words that all these windows hold, and those that any holds."""
+def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Written table (wid, words, items) of the distinct windows of all items."""
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("iw"))
-    items = items.where(F.size("iw") > 0).distinct()
-    places = items.select("item_id", "iw", F.posexplode("iw").alias("j", "word"))
-    test_words = places.groupBy("word").agg(F.count("*").alias("uses"))
-    few = test_words.count() <= BROADCAST_WORDS
-    tokens = postings(index).select("word")
-    counted = tokens.join(F.broadcast(test_words) if few else test_words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    cost = test_words.join(counted, "word", "left").select("word", (F.coalesce("n", F.lit(0)) * F.col("uses")).alias("cost"))
-    ahead = Window.partitionBy("item_id", "iw").orderBy("j").rowsBetween(0, window - 1)
-    rarest = places.join(cost, "word").select(
-        "item_id", "iw", "j", F.min(F.struct("cost", "word", F.col("j").alias("at"))).over(ahead).alias("a")
-    )
-    last = F.greatest(F.size("iw") - window, F.lit(0))
-    chosen = rarest.where(F.col("j") <= last).groupBy("item_id", "iw", F.col("a.word").alias("word"), F.col("a.at").alias("at"))
-    chosen = chosen.agg(F.min("j").alias("first"), F.max("j").alias("last"))  # the windows between them have this anchor too
-    kept = F.lit(window) - (F.col("last") - F.col("first"))
-    side = F.lit(window - 1)
-    return chosen.select(
-        "word",
-        "item_id",
-        F.least(F.size("iw"), F.lit(window)).alias("need"),
-        F.reverse(F.slice("iw", F.greatest(F.col("at") - side + 1, F.lit(1)), F.least(F.col("at"), side))).alias("before"),
-        F.slice("iw", F.col("at") + 2, side).alias("after"),
-        F.array_distinct(F.slice("iw", F.col("last") + 1, kept)).alias("core"),
-        F.slice("iw", F.col("first") + 1, F.col("last") - F.col("first") + window).alias("span"),
-    )
+    starts = F.sequence(F.lit(1), F.greatest(F.size("iw") - window + 1, F.lit(1)))
+    each = items.where(F.size("iw") > 0).distinct().select("item_id", F.explode(F.transform(starts, lambda s: F.slice("iw", s, window))).alias("words"))
+    grouped = each.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    return written(grouped.select(F.xxhash64(F.array_join("words", " ")).alias("wid"), "words", "items"), "windows")
+
+
+def vocabulary(windows: DataFrame) -> DataFrame:
+    """Written table (w) of the hashes of all words in the windows."""
+    return written(windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("w")).distinct(), "test-words")
+
 
+def _anchored(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """Written table (wid, w, off, second, need, ws): windows with their rarest word, its offset, and the second rarest.
 
-def _reach(own, other, most: int) -> Column:
-    """How many words in a row agree: a chain of tests that stops at the first difference."""
-    chain = F.lit(most)
-    for k in range(most, 0, -1):
-        chain = F.when(F.coalesce(own(k) == other(k), F.lit(False)), chain).otherwise(k - 1)
-    return chain
-
-
-def matches(index: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """Written table (doc_id, h, item_id, exact, start, stop) of exact runs and proximity matches."""
-    anchors = written(_anchors(index, bench, window), "anchors")
-    wide = window - 1
-    if anchors.count() <= BROADCAST_ANCHORS:
-        met = index.select("doc_id", "h", "words", F.posexplode("words").alias("place", "word")).join(F.broadcast(anchors), "word")
-        place = F.col("place")
-        right = lambda k: F.get("words", place + k)
-        left = lambda k: F.get("words", place - k)
-        near = F.slice("words", F.greatest(place - wide - slop + 1, F.lit(1)), F.lit(2 * (wide + slop) + 1))
-    else:
-        spread = wide + slop
-        held = index.select("doc_id", "h", "words", F.posexplode("words").alias("place", "word"))
-        place = F.col("place")
-        near = F.col("near")
-        held = held.select(
-            "doc_id", "h", "place", "word",
-            F.slice("words", F.greatest(place - spread + 1, F.lit(1)), F.lit(2 * spread + 1)).alias("near"),
-        ).withColumn("own", F.least(F.col("place"), F.lit(spread)))
-        met = held.join(anchors, "word")
-        right = lambda k: F.get("near", F.col("own") + k)
-        left = lambda k: F.get("near", F.col("own") - k)
-    r = _reach(right, lambda k: F.get("after", F.lit(k - 1)), wide)
-    l = _reach(left, lambda k: F.get("before", F.lit(k - 1)), wide)  # noqa: E741
-    exact = l + r + 1 >= F.col("need")
-    close = F.size(F.array_except("core", near)) == 0
-    # Written first: an interpreted test in this step would keep a row with all words for each token of a document.
-    found = written(
-        met.where(exact | close).select(
-            "doc_id", "h", "item_id", exact.alias("exact"),
-            F.when(exact, F.col("place") - l).cast("long").alias("start"),
-            F.when(exact, F.col("place") + r + 1).cast("long").alias("stop"),
-            "need", "span", near.alias("near"),
+    Windows with a word that no text has match nothing and are left out.
+    """
+    counts = index.groupBy("w").agg(F.count("*").alias("n"))
+    terms = windows.select("wid", F.posexplode("words").alias("o", "word")).withColumn("w", F.xxhash64("word")).join(counts, "w", "left")
+    ranked = terms.groupBy("wid").agg(
+        F.array_sort(F.collect_list(F.struct("n", "word", "o", "w"))).alias("r"),
+        F.min(F.coalesce("n", F.lit(0))).alias("least"),
+    )
+    hashes = F.transform("words", lambda x: F.xxhash64(x))
+    return written(
+        windows.join(ranked.where("least > 0"), "wid").select(
+            "wid", F.col("r")[0]["w"].alias("w"), F.col("r")[0]["o"].alias("off"), F.get("r", F.lit(1))["w"].alias("second"), F.size("words").alias("need"), hashes.alias("ws")
         ),
-        "meetings",
+        "anchors",
     )
-    # A run of ``need`` words of the span that are all near is a window.
-    held = F.array_join(F.transform("span", lambda w: F.when(F.array_contains("near", w), "1").otherwise("0")), "")
-    found = found.where(F.col("exact") | held.contains(F.expr("repeat('1', need)")))
-    return written(found.select("doc_id", "h", "item_id", "exact", "start", "stop").distinct(), "matches")
+
+
+_SAME = "x.w = y.w and x.h = y.h and x.doc_id <=> y.doc_id and x.block = y.block and abs(x.p - y.place) < x.reach"
+
+
+def _asked(probes: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """Probes (w, doc_id, h, p, reach, ...) met with the postings of w less than ``reach`` places away."""
+    ends = F.array_distinct(F.array(F.floor((F.col("p") - F.col("reach") + 1) / width), F.floor((F.col("p") + F.col("reach") - 1) / width)))
+    blocked = probes.withColumn("block", F.explode(ends)).alias("x")
+    lists = index.withColumn("block", F.floor(F.col("place") / width)).alias("y")
+    return blocked.join(lists, F.expr(_SAME)).select("x.*", "y.place")
+
+
+def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
+    """Written table (doc_id, h, wid, exact, start, stop) of exact and proximity matches; those have no start and stop."""
+    anchors = _anchored(index, windows)
+    few = anchors.count() <= BROADCAST_WINDOWS
+    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    # Less than this many places lie between a window's words; the widest window sets the blocks.
+    reach = F.col("need") + slop
+    width = 2 * ((anchors.agg(F.max("need")).first()[0] or 1) + slop) - 1
+    rarest = anchors.select("wid", "w", "second", "need")
+    met = index.join(F.broadcast(rarest), "w") if few else _salted(index, rarest, "w")
+    first = met.select("wid", "doc_id", "h", F.col("place").alias("p"), F.col("second").alias("w"), reach.alias("reach"), "need")
+    first = written(first, "anchor-places")
+    lists = index.join(sent(anchors.where("need > 1").select(F.col("second").alias("w")).distinct()), "w", "left_semi")
+    both = _asked(first.where("need > 1"), lists, width).select("wid", "doc_id", "h", "p").distinct()
+    both = written(both, "anchor-places")
+    held = both.select("h").distinct()
+    lists = index.join(F.broadcast(held), "h", "left_semi") if held.count() <= BROADCAST_DOCS else index
+    info = sent(anchors.select("wid", "off", "need", "ws"))
+    probes = both.join(info, "wid").select("wid", "doc_id", "h", "p", reach.alias("reach"), F.explode(F.array_distinct("ws")).alias("w"))
+    near = _asked(probes, lists, width).groupBy("wid", "doc_id", "h", "p").agg(
+        F.collect_set(F.struct((F.col("place") - F.col("p")).alias("o"), "w")).alias("found")
+    )
+    found = near.join(info, "wid").where(F.size("found") >= F.col("need"))
+    exact = F.forall(F.sequence(F.lit(0), F.col("need") - 1), lambda i: F.array_contains("found", F.struct((i - F.col("off")).alias("o"), F.get("ws", i).alias("w"))))
+
+    def within(low: Column) -> Column:
+        span = F.transform(F.filter("found", lambda x: (x["o"] >= low) & (x["o"] < low + F.col("need") + slop)), lambda x: x["w"])
+        # As often as in the window: a word that it has twice must stand there twice.
+        times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+        return F.forall(F.array_distinct("ws"), lambda w: times(span, w) >= times(F.col("ws"), w))
+
+    close = F.exists(F.sequence(1 - F.col("need") - slop, F.lit(0)), within)
+    told = found.select("doc_id", "h", "wid", exact.alias("exact"), (F.col("p") - F.col("off")).alias("at"), "need", close.alias("close")).where("close")
+    single = first.where("need = 1").select("doc_id", "h", "wid", F.lit(True).alias("exact"), F.col("p").alias("at"), "need", F.lit(True).alias("close"))
+    place = lambda x: F.when(F.col("exact"), x).cast("long")
+    told = told.unionByName(single).select("doc_id", "h", "wid", "exact", place(F.col("at")).alias("start"), place(F.col("at") + F.col("need")).alias("stop"))
+    return written(told.distinct(), "matches")
+
+
+def found_items(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """Matches of every item: (doc_id, h, item_id, exact, start, stop)."""
+    windows = item_windows(bench, window)
+    index = stored_postings(docs, vocabulary(windows))
+    found = matches(index, windows, slop)
+    return found.join(windows.select("wid", F.explode("items").alias("item_id")), "wid").drop("wid").distinct()
 
 
 def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row for each document: doc_id, h, n_words, n_hit, items (exact, sorted), n_near, spans."""
-    index = stored_postings(docs)
-    found = matches(index, bench, window, slop)
+    """One row for each document: doc_id, h, n_words, n_hit, items (exact, sorted), near (items with proximity matches alone, sorted)."""
+    found = written(found_items(docs, bench, window, slop), "item-matches")
     runs = found.where("exact").select("doc_id", "h", "start", "stop").distinct()
     before = Window.partitionBy("doc_id", "h").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("stop").over(before), F.col("start"))
@@ -144,18 +180,15 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int =
     hits = hits.groupBy("doc_id", "h").agg(F.sum("new").alias("n_hit"))
     items = found.groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"),
-        F.collect_set(F.when(~F.col("exact"), F.col("item_id"))).alias("near"),
-    )
-    both = items.join(hits, (items.doc_id.eqNullSafe(hits.doc_id)) & (items.h == hits.h), "left").select(
-        items.doc_id, items.h, "items", "near", "n_hit"
+        F.array_sort(F.collect_set(F.when(~F.col("exact"), F.col("item_id")))).alias("near"),
     )
-    d = index.select("doc_id", "h", "n_words").alias("d")
-    b = both.alias("b")
-    return d.join(b, F.expr("d.doc_id <=> b.doc_id and d.h = b.h"), "left").select(
+    both = items.alias("i").join(hits.alias("n"), F.expr("i.doc_id <=> n.doc_id and i.h = n.h"), "left").select("i.*", "n.n_hit")
+    none = F.array().cast("array<string>")
+    return documents(docs).alias("d").join(both.alias("b"), F.expr("d.doc_id <=> b.doc_id and d.h = b.h"), "left").select(
         "d.doc_id",
         "d.h",
         "d.n_words",
         F.coalesce("b.n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("b.items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce(F.size(F.array_except("b.near", "b.items")), F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("b.items", none).alias("items"),
+        F.coalesce(F.array_except("b.near", "b.items"), none).alias("near"),
     )

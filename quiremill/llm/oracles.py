@@ -22,16 +22,27 @@ from d left join k on d.doc_id = k.doc_id
 
 OP4_SQL = f"""
 with it as (select distinct item_id, {_WORDS.format("coalesce(text, '')")} w from benchmark),
-iw as (select distinct item_id, least(len(w), 10) n, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') k
+iw as (select distinct item_id, least(len(w), 10) n, list_slice(w, s, s + least(len(w), 10) - 1) l, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') k
        from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) s from it where len(w) > 0)),
 d as (select doc_id, {_WORDS.format("coalesce(text, '')")} w from documents),
 dw as (select doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') k
        from (select doc_id, w, unnest(range(1, len(w) + 1)) p from d), (select distinct n from iw) where p + n - 1 <= len(w)),
 m as (select distinct doc_id, item_id, p, dw.n from dw join iw on dw.n = iw.n and dw.k = iw.k),
 h as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from m) group by 1),
-i as (select doc_id, count(*) n_items, string_agg(t, ',' order by t) s from (select distinct doc_id, cast(item_id as varchar) t from m) group by 1)
-select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join h on d.doc_id = h.doc_id left join i on d.doc_id = i.doc_id
+i as (select doc_id, count(*) n_items, string_agg(t, ',' order by t) s from (select distinct doc_id, cast(item_id as varchar) t from m) group by 1),
+wc as (select k, n, x, count(*) c from (select distinct k, n, l from iw), unnest(l) u(x) group by all),
+wk as (select k, n, count(*) kinds from wc group by all),
+t as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from d),
+tc as (select doc_id, x, count(*) c from t where x in (select x from wc) group by all),
+cd as (select wc.k, tc.doc_id from wc join tc on tc.x = wc.x and tc.c >= wc.c group by all having count(*) = (select any_value(kinds) from wk where wk.k = wc.k)),
+tp as (select cd.k, cd.doc_id, t.p, t.x, wc.n, wc.c from cd join wc on wc.k = cd.k join t on t.doc_id = cd.doc_id and t.x = wc.x),
+sp as (select a.k, a.doc_id, a.p, b.x from (select distinct k, doc_id, p, n from tp) a join tp b on a.k = b.k and a.doc_id = b.doc_id and b.p >= a.p and b.p < a.p + a.n + 5 group by a.k, a.doc_id, a.p, b.x, b.c having count(*) >= b.c),
+nk as (select distinct k, doc_id from (select sp.k, doc_id, p from sp group by all having count(*) = (select any_value(kinds) from wk where wk.k = sp.k))),
+nr as (select doc_id, count(*) n_near, string_agg(t, ',' order by t) s from (select distinct nk.doc_id, cast(item_id as varchar) t from nk join iw on iw.k = nk.k
+       except select doc_id, cast(item_id as varchar) from m) group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(i.s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
+  coalesce(n_near, 0) n_near, sha256(coalesce(nr.s, '')) near_sha256
+from d left join h on d.doc_id = h.doc_id left join i on d.doc_id = i.doc_id left join nr on d.doc_id = nr.doc_id
 """
 
 

@@ -58,23 +58,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.report(docs, table(spark, sf_dir, "benchmark"))
+    digest = lambda items: F.sha2(F.array_join(items, ",").cast("binary"), 256)
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        digest("items").alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
+        digest("near").alias("near_sha256"),
     )
 
 
-def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity matches of the same method; op4_decontamination's columns are those of its SQL."""
-    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_near")
-
-
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), bits=None)
     return found.select(
@@ -133,7 +131,6 @@ def queries() -> dict[str, Query]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
-        "op4_proximity": op4_proximity,
         "op5_line_dedup": op5_line_dedup,
         "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
