@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,34 +11,105 @@ from pyspark.sql import functions as F
 
 #: Folder below the checkpoint folder that holds the tables written between steps.
 SCRATCH = "quiremill"
+#: The part of it that this driver's tables are in.
+_RUN = uuid.uuid4().hex
+#: Rows of one key that a task may well take, whatever the number of tasks.
+FAIR_ROWS = 2_000
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="quiremill-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="quiremill-"))
-        found = context._jsc.sc().getCheckpointDir().get()
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own_dir()
     return found.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{SCRATCH}/{_RUN}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: later steps need no earlier executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{SCRATCH}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this driver's operators have written, once their results are no longer read."""
+    _delete(spark, _scratch(spark))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written`, once nothing reads it any more."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if f"/{SCRATCH}/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, name)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key, where a key may hold most of ``left``.
+
+    Keys with more rows than a fair partition are joined by broadcasting their rows of ``right``: there are
+    no more of them than shuffle partitions, whatever the data. ``left`` is read twice, so it should be a written
+    table or a scan.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(left.groupBy(on).agg(F.count("*").alias("_ql_n")).where(f"_ql_n > {FAIR_ROWS}"), "key-counts")
+    total = counts.agg(F.sum("_ql_n")).first()[0]
+    if total is None:
+        return left.join(right, on)
+    share = max(FAIR_ROWS, total // parts)  # at most ``parts`` keys are above it
+    hot = counts.where(f"_ql_n > {share}").select(on)
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on)
+    return left.join(few, on).unionByName(rest)
+
+
+def meetings(keyed: DataFrame, who: str, crowded: int) -> DataFrame:
+    """Written rows of ``keyed`` (k, who, ...) that share their k with another, with their number n and a hub.
+
+    The hub of a k with more than ``crowded`` rows is the one that most others meet under such keys, as an original
+    meets all its copies, and these may not meet each other; ties go to the smallest. No group is gathered.
+    """
+    shared = keyed.groupBy("k").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high").select("k")
+    members = written(keyed.join(shared, "k", "left_semi").distinct(), "members")
+    counts = written(members.groupBy("k").agg(F.count("*").alias("n")), "member-counts")
+    if counts.where(f"n > {crowded}").isEmpty():
+        return members.join(counts, "k").withColumn("hub", F.lit(None).cast(keyed.schema[who].dataType))
+    full = written(join_hot(members, counts.where(f"n > {crowded}"), "k"), "crowds")
+    met = full.groupBy(who).agg(F.sum("n").alias("met"))
+    hubs = full.join(met, who).groupBy("k").agg(F.max_by(who, F.struct("met", F.hash(who), who)).alias("hub"))
+    few = members.join(counts.where(f"n <= {crowded}"), "k").withColumn("hub", F.lit(None).cast(keyed.schema[who].dataType))
+    return written(few.unionByName(join_hot(full, hubs, "k")), "meetings")
+
+
+def met_pairs(met: DataFrame, who: str, crowded: int, size: str | None = None, share: float = 0.0) -> DataFrame:
+    """(a, b) of :func:`meetings`: all pairs under small keys, the hub with each other under crowded ones.
+
+    Under small keys pairs are left out whose ``size`` differ by more than ``share`` of the larger one.
+    """
+    few = met.where(f"n <= {crowded}").withColumn("size", F.col(size) if size else F.lit(0))
+    left, right = (few.select("k", F.col(who).alias(x), F.col("size").alias(f"s{x}")) for x in "ab")
+    fits = F.abs(F.col("sa") - F.col("sb")) <= F.floor(F.greatest("sa", "sb") * share + 1e-9)
+    inner = left.join(right, "k").where("a < b").where(fits)
+    star = met.where(f"n > {crowded} and {who} != hub").select(F.least("hub", who).alias("a"), F.greatest("hub", who).alias("b"))
+    return written(inner.select("a", "b").unionByName(star).distinct(), "pairs")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
