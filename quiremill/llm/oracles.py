@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quiremill.llm.secret_scan import BASE, LIVE_CHARACTERS, PLACEHOLDER, SHARED_OWNERS
+# Written out here, so that a wrong pattern or bound in the operator shows.
+_SECRETS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+_EXAMPLES = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|0123456789|1234567890|abcdefgh"
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -55,11 +61,11 @@ def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str
 
 
 OP6_SQL = f"""
-with s as ({" union all ".join(_kind_sql(k, *x) for k, x in enumerate(BASE))}),
-o as (select v, count(distinct source) owners from s group by 1),
-j as (select s.*, case when owners >= {SHARED_OWNERS} or regexp_matches(s.v, '{PLACEHOLDER}') then 'example'
-      when len(list_distinct(string_split(s.v, ''))) >= {LIVE_CHARACTERS} then 'live' end verdict from s join o on s.v = o.v),
-a as (select doc_id, kind, k, b, e from s union all select distinct doc_id, verdict, case verdict when 'live' then 3 else 4 end, b, e from j where verdict is not null),
+with s as ({" union all ".join(_kind_sql(k, *x) for k, x in enumerate(_SECRETS))}),
+o as (select v, count(distinct coalesce(source, '')) owners, count(distinct (source, lang)) repositories from s group by 1),
+j as (select s.*, case when owners >= 3 or repositories >= 5 or regexp_matches(s.v, '{_EXAMPLES}') then 'example'
+      when len(list_distinct(string_split(s.v, ''))) >= 8 then 'live' else 'weak' end verdict from s join o on s.v = o.v),
+a as (select doc_id, kind, k, b, e from s union all select distinct doc_id, verdict, case verdict when 'live' then 3 when 'example' then 4 else 5 end, b, e from j),
 t as (select doc_id, count(*) filter (where kind = 'assign') n_assign, count(*) filter (where kind = 'access') n_access, count(*) filter (where kind = 'hex') n_hex,
       string_agg(kind || ':' || cast(cast(b as bigint) as varchar) || ':' || cast(cast(e as bigint) as varchar), ',' order by b, k) filter (where k < 3) base,
       string_agg(kind || ':' || cast(cast(b as bigint) as varchar) || ':' || cast(cast(e as bigint) as varchar), ',' order by b, k) spans from a group by 1)

@@ -2,13 +2,15 @@
 
 Candidates are found by three patterns in every whole text. The hash of each
 candidate's value is counted over the corpus by distinct repositories and owners: a
-value that many owners hold is a widely copied example; one that stays with few and
-looks random is a live-looking credential of its owner. Both verdicts are added as spans
-of their own beside the base spans.
+value that many owners or many repositories hold is a widely copied example; one that
+stays with few and looks random is a live-looking credential of its owner, and one that
+does not look random is a weak value. These verdicts are added as spans of their own
+beside the base spans, one for each candidate.
 
 Defined results: a null or empty text has no spans; a null source is an owner of its
 own; a value found twice in one text counts once for its owner; repeated rows get the
-same spans and are one owner; further columns are ignored.
+same spans and are one owner; an empty table gives an empty table; further columns,
+those named like results among them, are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import written
+from quiremill.llm.common import join_hot, written
 
 # The base patterns, the group that holds the value, and the shortest value or match.
 BASE = (
@@ -25,8 +27,11 @@ BASE = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 
-#: Owners from which on a value counts as widely copied.
+#: Owners and repositories from which on a value counts as widely copied.
 SHARED_OWNERS = 3
+SHARED_REPOSITORIES = 5
+#: Verdicts and their rank after the base kinds.
+VERDICTS = {"live": 3, "example": 4, "weak": 5}
 #: Distinct characters that a live-looking value has at least.
 LIVE_CHARACTERS = 8
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|0123456789|1234567890|abcdefgh"
@@ -92,19 +97,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
         (value.rlike(PLACEHOLDER)).alias("placeholder"),
         F.size(F.array_distinct(F.split(value, ""))).alias("characters"),
     )
-    judged = candidates.join(ownership(candidates), "hash").select(
-        "row",
-        "start",
-        "stop",
-        F.when((F.col("owners") >= SHARED_OWNERS) | F.col("placeholder"), "example")
-        .when(F.col("characters") >= LIVE_CHARACTERS, "live")
-        .alias("kind"),
-    )
-    judged = judged.where("kind is not null").groupBy("row").agg(
-        F.collect_set(
-            F.struct("kind", F.when(F.col("kind") == "live", 3).otherwise(4).alias("rank"), "start", "stop")
-        ).alias("verdicts")
-    )
+    owned = written(ownership(candidates), "owners")
+    shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repositories") >= SHARED_REPOSITORIES) | F.col("placeholder")
+    kind = F.when(shared, "example").when(F.col("characters") >= LIVE_CHARACTERS, "live").otherwise("weak")
+    judged = join_hot(candidates, owned, "hash").select("row", "start", "stop", kind.alias("kind"))
+    rank = F.col("kind")
+    rank = F.when(rank == "live", VERDICTS["live"]).when(rank == "example", VERDICTS["example"]).otherwise(VERDICTS["weak"])
+    judged = judged.groupBy("row").agg(F.collect_set(F.struct("kind", rank.alias("rank"), "start", "stop")).alias("verdicts"))
     plain = "array<struct<kind:string,rank:int,start:int,stop:int>>"
     shown = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop")))
     rows = base.select("row", "doc_id", shown.alias("base"))
