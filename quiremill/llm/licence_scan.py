@@ -6,9 +6,11 @@ Where the words of an identifier tag stand, the raw text is read for the express
 that follow it; a shunting-yard parser turns each into postfix order and evaluates it.
 
 Defined results: a null or empty text has no words, no labels and a score of 0;
-expressions that do not parse give the label ``unparsed`` and no value; overlapping
-phrases all count; repeated rows are scanned alike; further columns pass through
-unless they are named like a result, which replaces them.
+expressions that do not parse give the label ``unparsed`` and no value, and identifiers
+that are not known the label ``unknown`` and no value; overlapping phrases all count;
+repeated rows are scanned alike; texts of any length are scanned whole; an empty table
+gives an empty table; further columns pass through unless they are named like a result,
+which replaces them.
 """
 
 from __future__ import annotations
@@ -37,6 +39,23 @@ NOTICES = {
     "creative commons attribution": ("cc-by", 0.9),
     "creative commons zero": ("cc0", 1.0),
     "public domain": ("public-domain", 1.0),
+    "boost software license": ("bsl", 1.0),
+    "isc license": ("isc", 1.0),
+    "zlib license": ("zlib", 1.0),
+    "bsd license": ("bsd", 1.0),
+    "artistic license": ("artistic", 0.8),
+    "eclipse public license": ("epl", 0.7),
+    "common development and distribution license": ("cddl", 0.7),
+    "european union public licence": ("eupl", 0.6),
+    "open font license": ("ofl", 0.8),
+    "open database license": ("odbl", 0.6),
+    "gnu free documentation license": ("gfdl", 0.5),
+    "server side public license": ("sspl", 0.2),
+    "business source license": ("busl", 0.1),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 1.0),
+    "attribution sharealike": ("cc-by-sa", 0.6),
+    "attribution noncommercial": ("cc-by-nc", 0.2),
+    "attribution noderivatives": ("cc-by-nd", 0.2),
     "confidential and proprietary": ("proprietary", 0.0),
     "do not distribute": ("proprietary", 0.0),
 }
@@ -44,13 +63,22 @@ BASE_VALUES = {"cc-by": 0.9, "gpl": 0.5, "reserved": 0.0}
 TAG = "spdx license identifier"
 TAG_LINE = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[\x20\t]*:?[\x20\t]*([^\r\n]*)", re.I)
 
-#: How free texts under an identifier are to use, by the start of its name; the longest start counts.
-IDENTIFIERS = {
-    "0bsd": 1.0, "afl-": 1.0, "agpl-": 0.4, "apache-": 1.0, "artistic-": 0.8, "bsd-": 1.0, "bsl-": 1.0, "cc-by-": 0.9,
-    "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-sa": 0.6, "cc0-": 1.0, "cddl-": 0.7, "ecl-": 1.0, "epl-": 0.7, "eupl-": 0.6,
-    "gfdl-": 0.5, "gpl-": 0.5, "isc": 1.0, "lgpl-": 0.6, "licenseref-": 0.1, "mit": 1.0, "mpl-": 0.7, "ms-pl": 0.9,
-    "none": 0.0, "noassertion": 0.0, "openssl": 0.9, "osl-": 0.5, "postgresql": 1.0, "python-": 1.0, "unlicense": 1.0,
-    "wtfpl": 1.0, "zlib": 1.0,
+#: How free texts under an identifier are to use: names by themselves, and families by the start of their names; the
+#: longest start counts.
+NAMES = {
+    "0bsd": 1.0, "blessing": 1.0, "bzip2": 1.0, "curl": 1.0, "fsfap": 1.0, "ftl": 0.9, "hpnd": 1.0, "icu": 1.0, "ijg": 1.0, "isc": 1.0,
+    "json": 0.8, "libpng": 1.0, "mirros": 1.0, "mit": 1.0, "ms-pl": 0.9, "ms-rl": 0.6, "ncsa": 1.0, "none": 0.0, "noassertion": 0.0,
+    "ntp": 1.0, "openssl": 0.9, "postgresql": 1.0, "ruby": 0.8, "sleepycat": 0.5, "sissl": 0.7, "smlnj": 1.0, "ssh-short": 1.0, "tcl": 1.0,
+    "unlicense": 1.0, "vim": 0.8, "w3c": 1.0, "wtfpl": 1.0, "x11": 1.0, "xnet": 1.0, "zlib": 1.0,
+}
+FAMILIES = {
+    "afl-": 1.0, "agpl-": 0.4, "apache-": 1.0, "apsl-": 0.7, "artistic-": 0.8, "blueoak-": 1.0, "bsd-": 1.0, "bsl-": 1.0, "busl-": 0.1,
+    "cc-by-": 0.9, "cc-by-nc-": 0.2, "cc-by-nd-": 0.2, "cc-by-sa-": 0.6, "cc-pddc": 1.0, "cc0-": 1.0, "cddl-": 0.7, "cecill-": 0.5,
+    "cecill-b": 0.9, "cecill-c": 0.6, "cpal-": 0.6, "cpl-": 0.7, "ecl-": 1.0, "efl-": 1.0, "elastic-": 0.1, "epl-": 0.7, "eupl-": 0.6,
+    "gfdl-": 0.5, "gpl-": 0.5, "hpnd-": 1.0, "ipl-": 0.7, "lgpl-": 0.6, "licenseref-": 0.1, "lppl-": 0.7, "mit-": 1.0, "mpl-": 0.7,
+    "mulanpsl-": 1.0, "nasa-": 0.8, "odbl-": 0.6, "odc-by-": 0.9, "ofl-": 0.8, "osl-": 0.5, "pddl-": 1.0, "php-": 0.9, "polyform-": 0.1,
+    "psf-": 1.0, "python-": 1.0, "qpl-": 0.5, "rpl-": 0.4, "sspl-": 0.2, "unicode-": 1.0, "upl-": 1.0, "w3c-": 1.0, "x11-": 1.0,
+    "zpl-": 1.0,
 }
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
@@ -61,8 +89,10 @@ EXCEPTION_GAIN = 0.1
 def identifier_value(name: str) -> float | None:
     """The value of an identifier; None where it is unknown."""
     low = name.lower().rstrip("+")
-    fitting = [start for start in IDENTIFIERS if low == start or (start.endswith("-") or start.startswith("cc-by-")) and low.startswith(start)]
-    return IDENTIFIERS[max(fitting, key=len)] if fitting else None
+    if low in NAMES:
+        return NAMES[low]
+    fitting = [start for start in FAMILIES if low.startswith(start)]
+    return FAMILIES[max(fitting, key=len)] if fitting else None
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -105,25 +135,29 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def evaluate(expression: str) -> tuple[float, list[str]] | None:
-    """Value and identifiers of an expression: "or" takes the freer side, "and" the stricter, "with" eases."""
+def evaluate(expression: str) -> tuple[float | None, list[str]] | None:
+    """Value and identifiers of an expression: "or" takes the freer side, "and" the stricter, "with" eases.
+
+    An unknown identifier has no value: it leaves that of the other side, and alone none at all.
+    """
     order = postfix(expression)
     if order is None:
         return None
-    stack: list[tuple[float, list[str], bool]] = []
+    stack: list[tuple[float | None, list[str], bool]] = []
     for token in order:
         if token in OPERATORS:
             right, left = stack.pop(), stack.pop()
             if token == "with":
                 if len(right[1]) != 1 or not left[2]:
                     return None
-                stack.append((min(1.0, left[0] + EXCEPTION_GAIN), [f"{left[1][0]} with {right[1][0]}"], False))
+                eased = None if left[0] is None else min(1.0, left[0] + EXCEPTION_GAIN)
+                stack.append((eased, [f"{left[1][0]} with {right[1][0]}"], False))
             else:
+                known = [x for x in (left[0], right[0]) if x is not None]
                 pick = max if token == "or" else min
-                stack.append((pick(left[0], right[0]), left[1] + right[1], False))
+                stack.append((pick(known) if known else None, left[1] + right[1], False))
         else:
-            value = identifier_value(token)
-            stack.append((0.0 if value is None else value, [token.lower()], True))
+            stack.append((identifier_value(token), [token.lower()], True))
     value, names, _ = stack.pop()
     return value, names
 
@@ -175,8 +209,11 @@ def scan_text(text: str | None) -> tuple:
             if found is None:
                 labels.add("unparsed")
             else:
-                values.append(found[0])
+                if found[0] is not None:
+                    values.append(found[0])
                 labels.update(f"id:{name}" for name in found[1])
+                if any(identifier_value(name.split(" with ")[0]) is None for name in found[1]):
+                    labels.add("unknown")
     score = round(sum(values) / len(values), 6) if values else 0.0
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
