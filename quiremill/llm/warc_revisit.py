@@ -13,11 +13,14 @@ Defined results: a null URL or time resolves to nothing ("none"); of responses a
 same time the one with the larger id counts, and a response at the revisit's own time
 is not earlier; a revisit without validators is "unchecked" and takes the response; one
 whose validators differ is a "mismatch" and takes none; repeated rows resolve alike;
-further columns are ignored.
+an empty table gives an empty table; further columns, those named like results among
+them, are ignored. Records of any length are read whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type",
     "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade",
 )
+#: Records that are handed on at once.
+RECORDS = 256
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
 
 
@@ -43,51 +48,85 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", full)
 
 
+_RECORD = "record_id string, url string, ts long, type string, status int, headers map<string,string>, payload binary, path string, error string"
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    pairs = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
+    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+
+
+def _record(stream, path: str | None) -> tuple | None:
+    """The record whose first line has been read; None where it is neither a response nor a revisit."""
+    from datetime import datetime
+
+    head = []
+    while (line := stream.readline()).strip():
+        head.append(line)
+    known, error, ts = _fields(head), None, None
+    size = known.get("content-length", "0")
+    if not size.isdigit():
+        return (known.get("warc-record-id", ""), known.get("warc-target-uri"), None, known.get("warc-type"), None, None, None, path, f"bad Content-Length {size}")
+    body = stream.read(int(size))
+    if len(body) < int(size):
+        error = "the record ends early"
+    if known.get("warc-type") not in ("response", "revisit"):
+        return None
+    if when := known.get("warc-date"):
+        try:
+            ts = int(datetime.fromisoformat(when.replace("Z", "+00:00")).timestamp())
+        except ValueError:
+            error = f"bad WARC-Date {when}"
+    top, _, payload = body.partition(b"\r\n\r\n")
+    status, *rest = top.split(b"\r\n")
+    words = status.split()
+    code = int(words[1]) if len(words) > 1 and words[1].isdigit() and len(words[1]) < 4 else None
+    return (known.get("warc-record-id", ""), known.get("warc-target-uri"), ts, known["warc-type"], code, list(_fields(rest).items()), payload, path, error)
+
+
+def _records(data: bytes, path: str | None) -> Iterator[tuple]:
+    """Records of one file, unpacked as they are read; what cannot be read is a last row with an error."""
+    import gzip
+    import io
+    import zlib
+
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while line := stream.readline():
+            if line.startswith(b"WARC/") and (found := _record(stream, path)):
+                yield found
+    except (OSError, EOFError, zlib.error) as e:
+        yield ("", None, None, None, None, None, None, path, f"{type(e).__name__}: {e}")
+
+
 def parse_records(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """Response and revisit records of WARC files, plain or gzipped, as captures for :func:`resolve`."""
+    """Response and revisit records of WARC files, plain or gzipped, as captures for :func:`resolve`.
+
+    A record or file that cannot be read is a row with an ``error``; a null content has no records.
+    """
     at, named = files.columns.index(content), files.columns.index(path)
 
     def run(batches):
-        import gzip
-        import io
-        from datetime import datetime
-
         import pyarrow as pa
 
-        def fields(lines: list[bytes]) -> dict[str, str]:
-            pairs = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
-            return {k.strip().lower(): v.strip() for k, _, v in pairs}
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string()]
+        names = [x.split(" ")[0] for x in _RECORD.replace("string,string", "").split(", ")]
+
+        def shown(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            out: list[tuple] = []
             for data, name in zip(batch.column(at), batch.column(named)):
-                raw = data.as_py() or b""
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                stream = io.BytesIO(raw)
-                while line := stream.readline():
-                    if not line.startswith(b"WARC/"):
-                        continue
-                    head = []
-                    while (line := stream.readline()).strip():
-                        head.append(line)
-                    known = fields(head)
-                    body = stream.read(int(known.get("content-length", 0)))
-                    kind = known.get("warc-type")
-                    if kind not in ("response", "revisit"):
-                        continue
-                    top, _, payload = body.partition(b"\r\n\r\n")
-                    status, *rest = top.split(b"\r\n")
-                    words = status.split()
-                    code = int(words[1]) if len(words) > 1 and words[1].isdigit() else None
-                    when = known.get("warc-date")
-                    ts = int(datetime.fromisoformat(when.replace("Z", "+00:00")).timestamp()) if when else None
-                    out.append((known.get("warc-record-id", ""), known.get("warc-target-uri"), ts, code, list(fields(rest).items()), payload, name.as_py()))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
-            names = ["record_id", "url", "ts", "status", "headers", "payload", "path"]
-            columns = list(zip(*out)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names)
-
-    return files.mapInArrow(run, "record_id string, url string, ts long, status int, headers map<string,string>, payload binary, path string")
+                held = []
+                for row in _records(data.as_py() or b"", name.as_py()):
+                    held.append(row)
+                    if len(held) == RECORDS:
+                        yield shown(held)
+                        held = []
+                yield shown(held)
+
+    return files.mapInArrow(run, _RECORD)
 
 
 def _field(headers: str, name: str) -> Column:
@@ -105,13 +144,15 @@ def resolve(captures: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, url key, response_id, verdict, headers, digest, length.
 
     ``captures``: record_id, url, ts (any orderable type), status, headers (lower-case names), and
-    optionally digest and length of the payload; status 304 is a revisit, 200 a full response.
-    Payloads are not read: the result names the response that holds them.
+    optionally type, digest and length of the payload; a record of the type "revisit" or with status 304 is a
+    revisit, one with status 200 otherwise a full response. Payloads are not read: the result names the response that holds them.
     """
     spark = captures.sparkSession
     columns = captures.columns
-    rows = captures.where("status in (200, 304)").select(
-        "record_id", canonical_url(F.col("url")).alias("key"), "ts", (F.col("status") == 200).alias("full"), "headers",
+    typed = F.coalesce(F.col("type") == "revisit", F.lit(False)) if "type" in columns else F.lit(False)
+    again = typed | F.coalesce(F.col("status") == 304, F.lit(False))
+    rows = captures.where(again | (F.col("status") == 200)).select(
+        "record_id", canonical_url(F.col("url")).alias("key"), "ts", (~again).alias("full"), "headers",
         *[F.col(c) if c in columns else F.lit(None).cast(t).alias(c) for c, t in (("digest", "string"), ("length", "long"))],
     )
     lost = rows.where("not full and (key is null or ts is null)")
