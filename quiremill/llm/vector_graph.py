@@ -203,16 +203,17 @@ class Shard:
         self.graph = SmallWorld(unit)
         self.width = BEAM
 
-    def audit(self, q: np.ndarray) -> float:
-        """Widen the beam until queries find their links: sample queries all that brute force finds, and vectors
-        turned away from sample nodes as far as a link may be, these nodes."""
-        q = q[:: max(1, len(q) // AUDIT_QUERIES)]
+    def audit(self, q: np.ndarray, who: np.ndarray) -> float:
+        """Widen the beam until queries find their links: sample queries all that brute force finds but themselves,
+        and vectors turned away from sample nodes as far as a link may be, these nodes."""
+        some = slice(None, None, max(1, len(q) // AUDIT_QUERIES))
+        q, who = q[some], who[some]
         nodes = np.arange(0, len(self.ids), max(1, len(self.ids) // AUDIT_NODES))
         aside = np.random.default_rng(11).normal(size=self.unit[nodes].shape)
         aside -= np.einsum("nd,nd->n", aside, self.unit[nodes])[:, None] * self.unit[nodes]
         length = np.sqrt(np.einsum("nd,nd->n", aside, aside))[:, None]
         turned = self.least * self.unit[nodes] + np.sqrt(max(0.0, 1 - self.least**2)) * aside / np.maximum(length, 1e-12)
-        linked = q @ self.unit.T >= self.least
+        linked = (q @ self.unit.T >= self.least) & (self.ids[None, :] != who[:, None])
         while True:
             ids, sims = self.graph.search(np.concatenate([q, turned]), self.width)
             seen = np.zeros_like(linked)
@@ -265,15 +266,15 @@ def _asked(least: float):
             ids, unit, times = (np.concatenate(x) for x in zip(*gathered))
             made = Shard(ids, unit, times, least)
             made.labels = np.arange(len(ids))
-            made.first = True
+            made.audits = {True, False}
             return made
 
-        def asked(ids, unit):
+        def asked(ids, unit, own):
             for low in range(0, len(ids), BATCH):
                 q, who = unit[low : low + BATCH], ids[low : low + BATCH]
-                if shard.first:
-                    shard.audit(q)
-                    shard.first = False
+                if own in shard.audits:  # the shard's own vectors first, then those of the others
+                    shard.audit(q, who)
+                    shard.audits.remove(own)
                 rows, nodes = shard.answer(q)
                 other = shard.ids[nodes] != who[rows]
                 rows, nodes = rows[other], nodes[other]
@@ -306,7 +307,7 @@ def _asked(least: float):
                 if now != key:
                     if gathered and shard is None:
                         shard = built()
-                        yield from asked(shard.ids, shard.unit)
+                        yield from asked(shard.ids, shard.unit, True)
                     if shard is not None:
                         yield from closed()
                     key, shard, gathered = now, None, []
@@ -318,11 +319,11 @@ def _asked(least: float):
                 if not own.all() and gathered:
                     if shard is None:
                         shard = built()
-                        yield from asked(shard.ids, shard.unit)
-                    yield from asked(ids[~own], unit[~own])
+                        yield from asked(shard.ids, shard.unit, True)
+                    yield from asked(ids[~own], unit[~own], False)
         if gathered and shard is None:
             shard = built()
-            yield from asked(shard.ids, shard.unit)
+            yield from asked(shard.ids, shard.unit, True)
         if shard is not None:
             yield from closed()
 
@@ -348,7 +349,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     ).withColumn("own", F.col("home") == F.col("shard"))
     dealt = dealt.select("dim", "shard", "own", "id", "times", "embedding")
-    dealt = dealt.repartitionByRange(shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.desc("own"), "id")
+    # One shard a task.
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", F.desc("own"), "id")
     told = written(dealt.mapInArrow(_asked(least), "kind int, a long, b long"), "vector-links")
     counts = told.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     groups = connected_components(told.where("kind = 1").select("a", "b"))
