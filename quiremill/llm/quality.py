@@ -13,7 +13,9 @@ every row and the whole of every text.
 Defined results: a null or empty text has the statistics of an empty text and a score
 like any other; labels that are null, or whose id is null, are not learnt from; several
 labels of one id count as their lowest; without labels of both kinds every score is the
-share of label 1, or 0.5 where there is none; repeated rows are scored alike.
+share of label 1, or 0.5 where there is none; repeated rows are scored alike; texts of
+any length have the same statistics; an empty table gives an empty table; other columns
+pass through, but one named like the score is replaced by it.
 """
 
 from __future__ import annotations
