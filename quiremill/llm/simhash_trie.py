@@ -10,7 +10,9 @@ sub-tries below its blocks' values and returns at most one link for each fingerp
 Defined results: a null or empty text has fingerprint zero and is linked like any
 other; a text of fewer words than a shingle is one shingle; equal fingerprints are one
 node, whatever their number; a null doc_id never becomes a component's id unless the
-component has no other; repeated rows are returned as often as they come.
+component has no other; repeated rows are returned as often as they come; texts of any
+length are taken whole; an empty table gives an empty table; other columns are ignored,
+and :func:`one_of_each` and :func:`one_of_each_alike` return them as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiremill.llm.common import connected_components, written
+from quiremill.llm.common import connected_components, join_hot, meetings, met_pairs, written
 
 BITS = 64
 SEED = 42
@@ -207,10 +209,10 @@ def components(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str =
     """One row for each row of ``docs``: (id, fp, component_id), the smallest id that links reach."""
     marked = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "fingerprints")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    placed = firsts.join(_groups(marked, budget), "fp")
+    placed = written(firsts.join(_groups(marked, budget), "fp"), "fingerprint-groups")
     lowest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(lowest, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    named = written(join_hot(placed, lowest, "component").select("fp", "component_id"), "fingerprint-names")
+    return join_hot(marked, named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
@@ -220,7 +222,7 @@ def one_of_each(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ql_doc"), F.xxhash64("text").alias("_ql_hash")]
     marked = written(fingerprints(docs.select(*key, "text"), "text", shingle), "fingerprints")
-    firsts = marked.join(_groups(marked, budget), "fp").groupBy("component").agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
+    firsts = join_hot(marked, _groups(marked, budget), "fp").groupBy("component").agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
     rows = docs.select("*", *key).join(firsts.select("f.*"), ["_ql_doc", "_ql_hash"], "left_semi")
     over = Window.partitionBy("_ql_doc", "_ql_hash").orderBy(F.lit(0))  # rows alike in id and text
     return rows.withColumn("_ql_n", F.row_number().over(over)).where("_ql_n = 1").select(*docs.columns)
@@ -228,7 +230,7 @@ def one_of_each(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame
 
 #: Bands of smallest hashes by which texts meet: at a shingle similarity of 0.8 all but 0.5 % of pairs share one.
 BANDS, ROWS = 10, 4
-#: Texts under one band up to which all pairs are compared at once; above, the smallest comes first.
+#: Texts under one band up to which all pairs are compared; above, one text with all others.
 CROWDED = 8
 
 
@@ -276,25 +278,40 @@ def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def one_of_each_alike(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Like :func:`one_of_each`, for components of texts linked by the Jaccard similarity of their shingles, checked exactly."""
+def _close_prints(texts: DataFrame, size: int, budget: int) -> DataFrame:
+    """(a, b) of texts whose fingerprints the trie links: the smallest text of each fingerprint with its others and its links'."""
+    marked = written(fingerprints(texts, "text", size), "fingerprints")
+    firsts = written(marked.groupBy("fp").agg(F.min("h").alias("first")), "fingerprint-firsts")
+    links = fingerprint_links(firsts.select("fp"), budget)
+    left, right = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"f{x}")) for x in "ab")
+    linked = links.join(left, "a").join(right, "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    same = join_hot(marked, firsts, "fp").where("h != first").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    return linked.unionByName(same)
+
+
+def one_of_each_alike(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, budget: int = 4) -> DataFrame:
+    """Like :func:`one_of_each`, for components of texts linked by the Jaccard similarity of their shingles, checked exactly.
+
+    Candidates are the links of the trie, and, as most pairs of that similarity differ in more bits than a trie can
+    be asked for, texts that share a band of smallest hashes. A crowded band compares its hub with all others; texts
+    of one crowd that are still apart then meet again under pairs of such bands.
+    """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ql_doc"), F.xxhash64("text").alias("_ql_hash")]
     texts = written(docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]), "texts")
-    under = Window.partitionBy("k")
-    met = _bands(texts, shingle).select("h", "k", F.count("*").over(under).alias("n"), F.min("h").over(under).alias("hub"))
-    met = written(met.where("n > 1"), "text-meetings")
-    few = met.where(f"n <= {CROWDED}")
-    pairs = few.select("k", F.col("h").alias("a")).join(few.select("k", F.col("h").alias("b")), "k").where("a < b").select("a", "b")
-    star = met.where(f"n > {CROWDED} and h != hub").select(F.col("hub").alias("a"), F.col("h").alias("b"))
-    pairs = written(pairs.unionByName(star).distinct(), "text-pairs")
+    met = meetings(written(_bands(texts, shingle), "text-bands"), "h", CROWDED)
+    pairs = written(met_pairs(met, "h", CROWDED).unionByName(_close_prints(texts, shingle, budget)).distinct(), "text-pairs")
     edges = written(_alike(pairs, texts, shingle, similarity), "text-links")
     groups = connected_components(edges)
-    placed = met.where(f"n > {CROWDED}").join(groups, F.col("h") == F.col("node"), "left").select("k", "h", F.coalesce("component", "h").alias("g"))
-    left, right = (placed.select("k", F.col("h").alias(x), F.col("g").alias(f"g{x}")) for x in "ab")
-    more = left.join(right, "k").where("ga < gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "text-pairs")
-    if not more.isEmpty():
-        groups = connected_components(edges.unionByName(_alike(more, texts, shingle, similarity)))
+    crowds = met.where(f"n > {CROWDED}").join(groups, F.col("h") == F.col("node"), "left").select("k", "h", F.coalesce("component", "h").alias("g"))
+    crowds = written(crowds, "text-crowds")
+    mixed = crowds.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("k")
+    held = crowds.join(mixed, "k", "left_semi").groupBy("h").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than BANDS
+    two = held.select("h", F.posexplode("ks").alias("i", "x"), "ks").select("h", "x", F.explode(F.slice("ks", F.col("i") + 2, BANDS)).alias("y"))
+    again = written(two.select(F.xxhash64("x", "y").alias("k"), "h"), "text-bands")
+    if not again.isEmpty():
+        more = met_pairs(meetings(again, "h", CROWDED), "h", CROWDED).join(pairs, ["a", "b"], "left_anti")
+        edges = edges.unionByName(written(_alike(more, texts, shingle, similarity), "text-links"))
+        groups = connected_components(edges)
     rows = docs.select("*", *key)
     named = rows.select("_ql_doc", "_ql_hash").join(groups, F.col("_ql_hash") == F.col("node"), "left")
     firsts = named.groupBy(F.coalesce("component", "_ql_hash").alias("g")).agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
