@@ -7,14 +7,14 @@ tokens may follow each other if merging their joined text gives just these two.
 The ids are then read backwards from the end of the table.
 
 Defined results: a null or empty text has the begin and end ids alone and decodes to
-the empty text; repeated rows and further columns pass through; an empty table gives
+the empty text; texts of any length are coded whole; repeated rows and further columns
+pass through, but columns named like the results are replaced; an empty table gives
 an empty table. Characters without a piece become their UTF-8 byte pieces.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import heapq
 import re
 import struct
@@ -27,32 +27,50 @@ from pyspark.sql import types as T
 
 #: The mark that stands for a space.
 SPACE = "▁"
-#: Entries that a worker's table of known units holds before it starts afresh.
-CACHED_UNITS = 600_000
-CACHED_PAIRS = 400_000
+#: Bytes that a worker's tables of known units and pairs take before they start afresh, about.
+UNIT_BYTES = 96_000_000
+PAIR_BYTES = 48_000_000
+#: Bytes of an entry, about: a unit's beside its characters, and a pair's; and the longest unit that is kept.
+ENTRY_BYTES = 240
+PAIR_ENTRY_BYTES = 140
+LONGEST_KEPT = 200
+#: Rows that are coded at once; a batch's lists never hold more than these.
+ROWS = 256
 
 
 class _Known(dict):
-    """Values computed at their first use; bounded, so that memory does not grow with the texts."""
+    """Values computed at their first use; bounded by bytes, so that memory does not grow with the texts.
 
-    def __init__(self, compute, most: int):
+    Entries are in two generations: a full young one becomes the old one, and what is used again is young again.
+    """
+
+    def __init__(self, compute, most: int, size):
         super().__init__()
-        self._compute, self._most = compute, most
+        self._compute, self._most, self._size, self._held, self._old = compute, most // 2, size, 0, {}
 
     def __missing__(self, key):
-        value = self._compute(key)
-        if len(self) >= self._most:
-            self.clear()
-        if len(key) < 200:
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
+        size = self._size(key)
+        if size:
+            if self._held >= self._most:
+                self._old, self._held = dict(self), 0
+                self.clear()
+            self._held += size
             self[key] = value
         return value
 
 
-class PieceCodec:
-    """Encoder and decoder of a byte-fallback BPE model with an identity normaliser."""
+def _unit_size(unit: str) -> int:
+    """Bytes that a kept unit takes; 0 for one that is too long to be kept."""
+    return ENTRY_BYTES + 2 * len(unit) if len(unit) < LONGEST_KEPT else 0
+
+
+class PieceDecoder:
+    """What decoding needs of a byte-fallback BPE model with an identity normaliser: the bytes of each id."""
 
     def __init__(self, model_path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -74,6 +92,23 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.score = {piece: model.get_score(i) for piece, i in self.ids.items()}
+
+    def decode(self, ids) -> str:
+        """Text of ids: control ids give nothing, marks give spaces, the leading space goes."""
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return text.removeprefix(" ")
+
+    def decode_packed(self, packed: bytes | None) -> str:
+        return self.decode(struct.unpack(f"<{len(packed or b'') // 4}I", packed or b""))
+
+
+class PieceCodec(PieceDecoder):
+    """Encoder and decoder."""
+
+    def __init__(self, model_path: str):
+        import ahocorasick
+
+        super().__init__(model_path)
         inner = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if not any(c in piece for piece in self.ids))
         # No piece runs over a space after another character, or over a character without a piece.
@@ -91,13 +126,15 @@ class PieceCodec:
             parts = self.halves[piece]
             if shared[self.score[piece]] > 1 or any(x in self._odd or not self.made.get(x, float("inf")) < self.made[piece] for x in parts):
                 self._odd.add(piece)
+        #: Tokens by number, with their packed ids; a pair of tokens is one number of two.
+        self.tokens = sorted(self._whole)
+        self._packed_ids = [self._packed(piece) for piece in self.tokens]
         self.automaton = ahocorasick.Automaton()
-        for piece in self._whole:
-            self.automaton.add_word(piece, piece)
+        for number, piece in enumerate(self.tokens):
+            self.automaton.add_word(piece, (number, len(piece)))
         self.automaton.make_automaton()
-        self._pairs = _Known(self._may_follow, CACHED_PAIRS)
-        self._tokens = _Known(self._packed, CACHED_UNITS)
-        self.units = _Known(self._unit_ids, CACHED_UNITS)
+        self._pairs = _Known(self._numbers_may_follow, PAIR_BYTES, lambda _: PAIR_ENTRY_BYTES)
+        self.units = _Known(self._unit_ids, UNIT_BYTES, _unit_size)
 
     def _merged(self, text: str, halves: dict[str, tuple[str, str]] | None = None) -> list[str]:
         """The definition: again and again join the best-scored adjacent pair, the leftmost of equals."""
@@ -130,14 +167,13 @@ class PieceCodec:
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether merging the joined text of two tokens gives just these two."""
-        return self._pairs[left, right]
-
-    def _may_follow(self, pair: tuple[str, str]) -> bool:
-        left, right = pair
         if left in self._odd or right in self._odd:
             return self._merged(left + right) == [left, right]
         return self._undone(left, right)
 
+    def _numbers_may_follow(self, pair: int) -> bool:
+        return self.may_follow(self.tokens[pair >> 32], self.tokens[pair & 0xFFFFFFFF])
+
     def _undone(self, left: str, right: str) -> bool:
         """Go back through the merges next to the border; a joining over it must never have come first."""
         rank, made, halves = self.score.get, self.made, self.halves
@@ -153,31 +189,32 @@ class PieceCodec:
             else:
                 return True
 
-    def pieces(self, text: str) -> list[str]:
-        """Tokens of a text of marks and characters, by the table of last tokens."""
-        n, pairs = len(text), self._pairs
-        last: list[str | None] = [None] * (n + 1)  # None: a character without a piece, or the start
-        for stop, piece in self.automaton.iter(text):
-            if last[stop + 1] is None:
-                before = last[stop + 1 - len(piece)]
-                if before is None or pairs[before, piece]:
-                    last[stop + 1] = piece
-        found = []
-        while n:
-            piece = last[n] or text[n - 1]
-            found.append(piece)
-            n -= len(piece)
-        found.reverse()
-        return found
-
     def _packed(self, piece: str) -> bytes:
         """Ids of one token, or of the bytes of a character without a piece."""
         known = self.ids.get(piece)
         ids = [known] if known is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _unit_ids(self, unit: str) -> bytes:
-        return b"".join(map(self._tokens.__getitem__, self.pieces(unit)))
+    def _unit_ids(self, text: str) -> bytes:
+        """Packed ids of a text of marks and characters, by the table of last tokens."""
+        n, pairs = len(text), self._pairs
+        last = [-1] * (n + 1)  # -1: a character without a piece, or the start
+        for stop, (number, size) in self.automaton.iter(text):
+            if last[stop + 1] < 0:
+                before = last[stop + 1 - size]
+                if before < 0 or pairs[before << 32 | number]:
+                    last[stop + 1] = number
+        found = []
+        while n:
+            number = last[n]
+            if number < 0:
+                n -= 1
+                found.append(self._packed(text[n]))
+            else:
+                n -= len(self.tokens[number])
+                found.append(self._packed_ids[number])
+        found.reverse()
+        return b"".join(found)
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
@@ -191,14 +228,6 @@ class PieceCodec:
         packed = self.encode_packed(text)
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
-    def decode(self, ids) -> str:
-        """Text of ids: control ids give nothing, marks give spaces, the leading space goes."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text.removeprefix(" ")
-
-    def decode_packed(self, packed: bytes | None) -> str:
-        return self.decode(struct.unpack(f"<{len(packed or b'') // 4}I", packed or b""))
-
 
 @functools.lru_cache(maxsize=2)
 def codec(model_path: str) -> PieceCodec:
@@ -206,42 +235,46 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, compute) -> DataFrame:
-    """Append a column that ``compute`` makes from record batches; the others pass through as they are."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
-    position = [i for i, f in enumerate(df.schema.fields) if f.name != name]
+@functools.lru_cache(maxsize=2)
+def decoder(model_path: str) -> PieceDecoder:
+    """One decoder for each worker and model, without the automaton."""
+    return PieceDecoder(model_path)
+
+
+def _with_columns(df: DataFrame, source: str, added: dict[str, T.DataType], compute) -> DataFrame:
+    """Append columns that ``compute`` makes from a list of the values of ``source``; the others pass through as they are."""
+    kept = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in added]
+    schema = T.StructType([*(f for _, f in kept), *(T.StructField(n, kind) for n, kind in added.items())])
+    names, at = [f.name for f in schema.fields], df.columns.index(source)
+    kinds = [pa.binary() if kind == T.BinaryType() else pa.string() for kind in added.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables of known units hold no cycles, and scanning them again and again is dear
-        try:
-            for batch in batches:
-                made = compute(batch)
-                columns = [batch.column(i) for i in position]
-                names = [batch.schema.names[i] for i in position]
-                yield pa.RecordBatch.from_arrays([*columns, made], [*names, name])
-        finally:
-            gc.enable()
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                made = compute(part.column(at).to_pylist())
+                columns = [pa.array(x, kind) for x, kind in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i, _ in kept), *columns], names)
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Append the packed ids of a text column; ``model_path`` must be readable on every executor."""
-    at = df.columns.index(text)
-
-    def made(batch: pa.RecordBatch) -> pa.Array:
-        one = codec(model_path)
-        return pa.array([one.encode_packed(x.as_py()) for x in batch.column(at)], pa.binary())
-
-    return _with_column(df, out, T.BinaryType(), made)
+    return _with_columns(df, text, {out: T.BinaryType()}, lambda xs: [list(map(codec(model_path).encode_packed, xs))])
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the text of a column of packed ids."""
-    at = df.columns.index(ids)
+    return _with_columns(df, ids, {out: T.StringType()}, lambda xs: [list(map(decoder(model_path).decode_packed, xs))])
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` of its ids in one step, hence with one worker and one codec a core."""
 
-    def made(batch: pa.RecordBatch) -> pa.Array:
+    def made(texts: list[str | None]) -> list[list]:
         one = codec(model_path)
-        return pa.array([one.decode_packed(x.as_py()) for x in batch.column(at)], pa.string())
+        packed = list(map(one.encode_packed, texts))
+        return [packed, list(map(one.decode_packed, packed))]
 
-    return _with_column(df, out, T.StringType(), made)
+    return _with_columns(df, text, {ids: T.BinaryType(), decoded: T.StringType()}, made)
