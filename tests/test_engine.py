@@ -69,6 +69,15 @@ def test_plugins_and_middleware(spark):
         engine.remove("shout")
 
 
+def test_deep_pages(spark):
+    pages = [(1, b"<b>" * 400 + b"x" + b"</b>" * 400), (2, b"<div>" * 3000 + b"<p>deep</p>")]
+    engine = Engine(spark)
+    docs = spark.createDataFrame([(i, c, "a.html") for i, c in pages], "doc_id long, content binary, file_name string")
+    found = {r.doc_id: r for r in engine.convert(docs, optimize=True, chunking=Options("heading", 64)).collect()}
+    assert found[1].error is None and found[1].markdown.strip("*") == "x" and found[2].error is None and found[2].markdown == "deep"
+    assert engine.rendered(engine.convert(docs), "html").where("output like '%deep%'").count() == 1
+
+
 def test_new_formats_are_dispatched(spark):
     engine = Engine(spark)
     engine.register_converter("foo", lambda content, name=None: (Node("document", [paragraph("foo " + content.decode())]), {}), ["application/x-foo"], ["foo"])

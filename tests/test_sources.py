@@ -181,3 +181,10 @@ def test_rules():
     assert [n.type for n in clean.children] == ["html", "paragraph", "list", "table"] and clean.children[0].value == "x"
     assert clean.children[1].text() == "a b" and len(clean.children[2].children) == 2 and len(clean.children[3].children) == 2
     assert as_json(optimize(tree, ["unknown"])) == before
+
+
+def test_far_cells_and_large_merges():
+    assert packages.grid({(0, 0): "a", (1_048_575, 16_383): "b"}, []) == [["a", ""], ["", "b"]]
+    assert packages.grid({(0, 0): "a", (2, 1): " "}, [(0, 0, 1, 1)]) == [["a", "a"], ["a", "a"]]
+    with pytest.raises(ValueError, match="cells"):
+        packages.grid({(0, 0): "a"}, [(0, 0, 1_048_575, 16_383)])
