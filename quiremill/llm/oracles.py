@@ -40,10 +40,10 @@ wc as (select k, n, x, count(*) c from (select distinct k, n, l from iw), unnest
 wk as (select k, n, count(*) kinds from wc group by all),
 t as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from d),
 tc as (select doc_id, x, count(*) c from t where x in (select x from wc) group by all),
-cd as (select wc.k, tc.doc_id from wc join tc on tc.x = wc.x and tc.c >= wc.c group by all having count(*) = (select any_value(kinds) from wk where wk.k = wc.k)),
+cd as (select wc.k, tc.doc_id from wc join wk on wk.k = wc.k join tc on tc.x = wc.x and tc.c >= wc.c group by wc.k, tc.doc_id, kinds having count(*) = kinds),
 tp as (select cd.k, cd.doc_id, t.p, t.x, wc.n, wc.c from cd join wc on wc.k = cd.k join t on t.doc_id = cd.doc_id and t.x = wc.x),
 sp as (select a.k, a.doc_id, a.p, b.x from (select distinct k, doc_id, p, n from tp) a join tp b on a.k = b.k and a.doc_id = b.doc_id and b.p >= a.p and b.p < a.p + a.n + 5 group by a.k, a.doc_id, a.p, b.x, b.c having count(*) >= b.c),
-nk as (select distinct k, doc_id from (select sp.k, doc_id, p from sp group by all having count(*) = (select any_value(kinds) from wk where wk.k = sp.k))),
+nk as (select distinct k, doc_id from (select sp.k, doc_id, p from sp join wk on wk.k = sp.k group by sp.k, doc_id, p, kinds having count(*) = kinds)),
 nr as (select doc_id, count(*) n_near, string_agg(t, ',' order by t) s from (select distinct nk.doc_id, cast(item_id as varchar) t from nk join iw on iw.k = nk.k
        except select doc_id, cast(item_id as varchar) from m) group by 1)
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(i.s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated,
