@@ -42,7 +42,6 @@ BROADCAST_DOCS = 500_000
 SALTS = 16
 
 _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -58,8 +57,10 @@ def words(text: Column) -> Column:
 
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_words): a document is known by its doc_id and the hash of its text."""
-    count = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), count.alias("n_words"))
+    parts = F.split(F.coalesce("text", F.lit("")), _CUT)
+    # Only the first and the last part can be empty; where there is but one, both are it.
+    empty = (F.get(parts, F.lit(0)) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.greatest(F.size(parts) - empty, F.lit(0)).cast("long").alias("n_words"))
 
 
 def _salted(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
