@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiremill.llm.common import connected_components, join_hot, meetings, met_pairs, written
+from quiremill.llm.common import connected_components, join_hot, joined_groups, meetings, met_pairs, mixed_crowds, pairs_apart, written
 
 BITS = 64
 SEED = 42
@@ -244,22 +244,24 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def _bands(texts: DataFrame, size: int) -> DataFrame:
-    """(h, text) to rows (h, k): one for each band."""
+    """(h, text) to rows (h, k, size): one for each band, with the number of distinct shingles."""
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keys = []
+            keys, sizes = [], []
             for text in batch.column(1):
                 own = shingles(text.as_py(), size)
+                sizes.append(len(own))
                 least = [(m := own * f, (m ^ m >> np.uint64(32)) * f)[1].min() for f in factors]
                 rows = np.array(least, np.uint64).reshape(BANDS, ROWS)
                 keys += [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.array(keys, np.uint64).view(np.int64))], ["h", "k"])
+            columns = np.repeat(batch.column(0).to_numpy(), BANDS), np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(sizes, np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k", "size"])
 
-    return texts.mapInArrow(run, "h long, k long")
+    return texts.mapInArrow(run, "h long, k long, size long")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -293,25 +295,20 @@ def one_of_each_alike(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """Like :func:`one_of_each`, for components of texts linked by the Jaccard similarity of their shingles, checked exactly.
 
     Candidates are the links of the trie, and, as most pairs of that similarity differ in more bits than a trie can
-    be asked for, texts that share a band of smallest hashes. A crowded band compares its hub with all others; texts
-    of one crowd that are still apart then meet again under pairs of such bands.
+    be asked for, texts that share a band of smallest hashes. A crowded band compares its hub with all others; of the
+    texts of one crowd that are still apart all pairs are compared whose numbers of shingles allow the similarity.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ql_doc"), F.xxhash64("text").alias("_ql_hash")]
     texts = written(docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]), "texts")
     met = meetings(written(_bands(texts, shingle), "text-bands"), "h", CROWDED)
-    pairs = written(met_pairs(met, "h", CROWDED).unionByName(_close_prints(texts, shingle, budget)).distinct(), "text-pairs")
+    pairs = written(met_pairs(met, "h", CROWDED, "size", 1 - similarity).unionByName(_close_prints(texts, shingle, budget)).distinct(), "text-pairs")
     edges = written(_alike(pairs, texts, shingle, similarity), "text-links")
     groups = connected_components(edges)
-    crowds = met.where(f"n > {CROWDED}").join(groups, F.col("h") == F.col("node"), "left").select("k", "h", F.coalesce("component", "h").alias("g"))
-    crowds = written(crowds, "text-crowds")
-    mixed = crowds.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("k")
-    held = crowds.join(mixed, "k", "left_semi").groupBy("h").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than BANDS
-    two = held.select("h", F.posexplode("ks").alias("i", "x"), "ks").select("h", "x", F.explode(F.slice("ks", F.col("i") + 2, BANDS)).alias("y"))
-    again = written(two.select(F.xxhash64("x", "y").alias("k"), "h"), "text-bands")
-    if not again.isEmpty():
-        more = met_pairs(meetings(again, "h", CROWDED), "h", CROWDED).join(pairs, ["a", "b"], "left_anti")
-        edges = edges.unionByName(written(_alike(more, texts, shingle, similarity), "text-links"))
-        groups = connected_components(edges)
+    crowds = mixed_crowds(met, groups, "h", CROWDED)
+    if not crowds.isEmpty():
+        apart = pairs_apart(crowds, "h", "size", 1 - similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = written(apart.join(pairs, ["a", "b"], "left_anti"), "text-pairs")
+        groups = joined_groups(groups, written(_alike(more, texts, shingle, similarity), "text-links"))
     rows = docs.select("*", *key)
     named = rows.select("_ql_doc", "_ql_hash").join(groups, F.col("_ql_hash") == F.col("node"), "left")
     firsts = named.groupBy(F.coalesce("component", "_ql_hash").alias("g")).agg(F.min(F.struct("_ql_doc", "_ql_hash")).alias("f"))
