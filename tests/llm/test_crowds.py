@@ -24,6 +24,25 @@ def test_lines_of_one_crowd_meet_all_others(spark, monkeypatch, tile):
     assert found == {i: i % 2 for i in range(40)} and len(set(alike_lines(lines).values())) == 20
 
 
+def test_hubs_of_classes_link_before_all_pairs(spark, monkeypatch):
+    """Six passages of other lengths under one start, twelve times each with other letters in every third word: no version needs all the others."""
+    compared = []
+
+    def counted(*args, real=line_dedup.pairs_apart):
+        compared.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(line_dedup, "pairs_apart", counted)
+    r = random.Random(6)
+    start, lines = " ".join(WORDS[:5]), []
+    for n in (20, 27, 36, 48, 64, 85):
+        body = r.sample(WORDS[5:], n)
+        lines += [" ".join([start, *(c + w[1:] if j % 3 == 0 else w for j, w in enumerate(body))]) for c in "abcdefghijkl"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(rows).collect()}
+    assert found == {i: int(i % 12 > 0) for i in range(72)} and sum(compared) < 72
+
+
 @pytest.mark.parametrize("tile", [common.TILE, 3])
 def test_pairs_apart_are_all_pairs_once(spark, monkeypatch, tile):
     monkeypatch.setattr(common, "TILE", tile)
